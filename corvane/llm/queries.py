@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import table
 from corvane.llm.exact_topk import exact_topk
+from corvane.llm.packing import pack
 from corvane.llm.sharding import shard
 from corvane.llm.url_filter import url_filter
 
@@ -31,6 +32,18 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), 20, is_query=F.col("id") % 20 == 0)
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on the url of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -40,6 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
+    "op6_packing": op6_packing,
     "op10_url_filter": op10_url_filter,
 }
 
