@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import table
 from corvane.llm.exact_topk import exact_topk
+from corvane.llm.html_text import extract
 from corvane.llm.packing import pack
 from corvane.llm.sharding import shard
 from corvane.llm.url_filter import url_filter
@@ -44,6 +45,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on the url of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -54,6 +60,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
     "op6_packing": op6_packing,
+    "op7_html_extraction": op7_html_extraction,
     "op10_url_filter": op10_url_filter,
 }
 
