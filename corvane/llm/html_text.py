@@ -55,6 +55,10 @@ EXAMPLES = [
     (2, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1), (3, 0.0, 80, 0.0, 9, 0.0, 0, 1, 0, 1), (140, 0.02, 20, 0.0, 0, 0.0, 0, 1, 0, 1),
     (30, 0.4, 50, 0.0, 40, 0.0, 0, 1, 0, 1), (1, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 1), (12, 0.0, 1, 1.0, 3, 0.0, 0, 1, 1, 1),
     (5, 1.0, 30, 0.0, 40, 0.0, 0, 1, 0, 1), (2, 1.0, 60, 0.0, 12, 0.0, 0, 1, 0, 1), (300, 0.0, 2, 0.0, 8, 0.0, 0, 1, 0, 1),
+    (9, 0.0, 1, 1.0, 1, 0.0, 0, 1, 1, 1), (1, 0.0, 1, 1.0, 1, 0.0, 0, 1, 0, 1), (4, 0.0, 1, 1.0, 0, 0.0, 0, 1, 0, 1),
+    (2, 1.0, 1, 1.0, 2, 1.0, 0, 1, 0, 1), (1, 1.0, 3, 1.0, 1, 1.0, 0, 1, 0, 1), (3, 1.0, 40, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (2, 0.0, 2, 1.0, 1, 1.0, 0, 1, 0, 1), (12, 0.9, 9, 1.0, 1, 0.0, 0, 1, 0, 1), (6, 0.5, 1, 1.0, 1, 1.0, 0, 1, 1, 1),
+    (4, 0.0, 3, 1.0, 0, 0.0, 0, 1, 0, 1), (30, 0.0, 9, 0.9, 0, 0.0, 0, 1, 0, 1), (2, 0.0, 60, 1.0, 0, 0.0, 0, 1, 0, 1),
     # inside an element that names furniture, in content or out of it
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0),
     (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (10, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0), (40, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 0),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import table
+from corvane.llm.common import crc_of_id, table
 from corvane.llm.exact_topk import exact_topk
 from corvane.llm.html_text import extract
+from corvane.llm.language_id import identify
 from corvane.llm.packing import pack
 from corvane.llm.sharding import shard
 from corvane.llm.url_filter import url_filter
@@ -50,6 +51,15 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of them."""
+    held_out = crc_of_id(F.col("doc_id")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs, ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on the url of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -61,6 +71,7 @@ QUERIES = {
     "op2_exact_topk": op2_exact_topk,
     "op6_packing": op6_packing,
     "op7_html_extraction": op7_html_extraction,
+    "op8_language_id": op8_language_id,
     "op10_url_filter": op10_url_filter,
 }
 
