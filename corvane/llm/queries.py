@@ -11,6 +11,7 @@ from corvane.llm.html_text import extract
 from corvane.llm.language_id import identify
 from corvane.llm.packing import pack
 from corvane.llm.sharding import shard
+from corvane.llm.toxicity import score_toxicity
 from corvane.llm.url_filter import url_filter
 
 #: host, path, verdict
@@ -34,6 +35,16 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), 20, is_query=F.col("id") % 20 == 0)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from two thirds of the labels."""
+    held_out = crc_of_id(F.col("doc_id")) % 3 == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_pred").alias("predicted"),
+        F.col("tox_evidence").alias("evidence"),
+    )
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's file on this machine."""
     import public_tokenizers
@@ -69,6 +80,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
+    "op3_toxicity": op3_toxicity,
     "op6_packing": op6_packing,
     "op7_html_extraction": op7_html_extraction,
     "op8_language_id": op8_language_id,
