@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import crc_of_id, table
+from corvane.llm.decontamination import contaminated
 from corvane.llm.exact_topk import exact_topk
 from corvane.llm.html_text import extract
+from corvane.llm.jaccard_join import jaccard_components
 from corvane.llm.language_id import identify
 from corvane.llm.packing import pack
 from corvane.llm.sharding import shard
@@ -45,6 +47,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that give a benchmark item away, word for word or with other values in its slots."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's file on this machine."""
     import public_tokenizers
@@ -71,6 +78,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy components of all documents at a Jaccard similarity of 0.8 over 5-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents"), 80)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on the url of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -81,9 +93,11 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
     "op3_toxicity": op3_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op7_html_extraction": op7_html_extraction,
     "op8_language_id": op8_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -104,6 +118,34 @@ ORACLES = {
         FROM s
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
     """,
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE
+                WHEN len(words) = 0 THEN []
+                WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+                END AS grams
+            FROM w
+        ), g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+        link AS (
+            SELECT a.doc_id AS x, b.doc_id AS y
+            FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach(x, y) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+        )
+        SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, min(reach.y) AS component_id
+        FROM s JOIN reach ON s.doc_id = reach.x
+        GROUP BY s.doc_id, len(s.grams)
+    """,
     "op10_url_filter": """
         WITH u AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
