@@ -11,6 +11,7 @@ from corvane.llm.exact_topk import exact_topk
 from corvane.llm.html_text import extract
 from corvane.llm.jaccard_join import jaccard_components
 from corvane.llm.language_id import identify
+from corvane.llm.masked_lm import score_documents
 from corvane.llm.packing import pack
 from corvane.llm.sharding import shard
 from corvane.llm.toxicity import score_toxicity
@@ -47,6 +48,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked pseudo-likelihood of every document under a model trained on all of them."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that give a benchmark item away, word for word or with other values in its slots."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -93,6 +99,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
     "op3_toxicity": op3_toxicity,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op7_html_extraction": op7_html_extraction,
