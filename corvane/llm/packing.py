@@ -29,21 +29,42 @@ SALTS = 64
 #: Fillers tried for each length, tokens that a pattern may waste, rounds of the solver.
 FILLERS, WASTE, ROUNDS = 6, 24, 300
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 _LETTERS = "a-zªµºÀ-ÖØ-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
 #: The pre-tokens of word_bpe_49k over Latin text, as its file describes them.
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
-#: Texts with these go through the tokenizer as a whole.
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]|[^\x00-ſ]|<\\|")
+#: Characters that split words in one library only; texts with them, with characters beyond Latin, or with a
+#: special token's beginning go through the tokenizer as a whole.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
+_BEYOND = re.compile("[^\x00-\u017f]")
+
+
+def plain(text: str) -> bool:
+    if any(x in text for x in _ODD):
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _BEYOND.search(text)
+    return True
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of every byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordIds(dict):
     """White-space word to its ids, as little-endian 32-bit bytes; equal words are encoded once.
 
-    No pre-token spans white space, and the last id of each pre-token is marked as a word's end, so
-    many new words are encoded as one text and told apart by those marks.
+    No pre-token spans white space, so a word is its pre-tokens one after another, and these are
+    remembered too.
     """
 
     def __init__(self, path: str):
@@ -52,43 +73,30 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-            new = list(words)
-        else:
-            new = [w for w in words if w not in self]
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        last = np.cumsum([len(_WORD.findall(w)) for w in new])
-        at = 0
-        for w, k in zip(new, last.tolist(), strict=True):
-            to = int(stops[k - 1])
-            self[w] = ids[at:to].tobytes()
-            at = to
-
-    def meet(self, texts) -> None:
-        """Learn the new words of many texts at once."""
-        words: set[str] = set()
-        for text in texts:
-            if text and not _ODD.search(text):
-                words.update(text.lower().split())
-        self.learn(words)
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        out = b""
+        for part in _WORD.findall(word):
+            ids = self.parts.get(part)
+            if ids is None:
+                shown = part.encode().decode("latin-1").translate(self.letters)
+                ids = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+            out += ids
+        self[word] = out
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, the same that the tokenizer gives for it."""
-        if _ODD.search(text):
+        if not plain(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.lower().split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -100,11 +108,9 @@ def _cutter(path: str, size: int, with_ids: bool):
 
         if path not in own._tokenizers:
             own._tokenizers[path] = WordIds(path)
-        known = own._tokenizers[path]
-        encode = known.encode
+        encode = own._tokenizers[path].encode
         for b in batches:
             rows = []
-            known.meet(b["text"])
             for i, text in zip(b["id"], b["text"], strict=True):
                 ids = (encode(text) if text else b"") + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
