@@ -6,15 +6,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corvane.functions.text import content_id
 from corvane.session import prepare
 
 #: Questions as their files hold them; only the first element of inner lists is read.
-QUESTIONS = T.StructType.fromDDL(
-    "_id string, type string, question string, answer string, supporting_facts array<array<string>>, context array<array<string>>"
-)
+QUESTIONS = "_id string, type string, question string, answer string, supporting_facts array<array<string>>, context array<array<string>>"
 
 
 def first_text(rows: DataFrame, prefix: str, *, text_col: str = "text", order: str = "ord") -> DataFrame:
