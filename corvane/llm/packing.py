@@ -26,8 +26,9 @@ from corvane.llm.common import cut, prepare
 SIZE = 2048
 #: Parts in which the pieces of one length are numbered.
 SALTS = 64
-#: Fillers tried for each length, tokens that a pattern may waste, rounds of the solver.
-FILLERS, WASTE, ROUNDS = 6, 24, 300
+#: Fillers tried for each length, the part of a sequence (one in so many tokens) that a pattern may waste, rounds
+#: of the solver.
+FILLERS, WASTE, ROUNDS = 6, 85, 300
 #: Words whose ids a worker remembers.
 REMEMBERED = 300_000
 
@@ -125,28 +126,28 @@ def _cutter(path: str, size: int, with_ids: bool):
 
 def patterns(lengths: list[int], size: int) -> list[tuple[int, ...]]:
     """Up to four lengths of the histogram that nearly fill a sequence."""
-    have, out = sorted(lengths), set()
+    have, out, waste = sorted(lengths), set(), size // WASTE
 
     def below(room: int, many: int) -> list[int]:
         at = bisect_right(have, room)
         return have[max(0, at - many) : at]
 
     for a in have:
-        if size - a <= WASTE:
+        if size - a <= waste:
             out.add((a,))
         for b in below(size - a, FILLERS):
-            if size - a - b <= WASTE:
+            if size - a - b <= waste:
                 out.add(tuple(sorted((a, b))))
         for share in (0.5, 0.25, 0.75):
             for b in below(int((size - a) * share), FILLERS // 2):
                 for c in below(size - a - b, 2):
-                    if size - a - b - c <= WASTE:
+                    if size - a - b - c <= waste:
                         out.add(tuple(sorted((a, b, c))))
         third = (size - a) // 3
         for b in below(third, 2):
             for c in below((size - a - b) // 2, 2):
                 for d in below(size - a - b - c, 1):
-                    if size - a - b - c - d <= WASTE:
+                    if size - a - b - c - d <= waste:
                         out.add(tuple(sorted((a, b, c, d))))
     return sorted(out)
 
@@ -183,7 +184,14 @@ def least_squares(found: list[tuple[int, ...]], counts: np.ndarray) -> np.ndarra
 
 
 def plan(histogram: dict[int, int], size: int) -> tuple[np.ndarray, int]:
-    """Runs (length, first number, count, first sequence, per sequence, offset) and the number of sequences."""
+    """Runs (length, first number, count, first sequence, per sequence, offset) and the number of sequences.
+
+    Where the fitted patterns happen to need more sequences than best fit alone, they are left out.
+    """
+    return min((_plan(histogram, size, patterns([x for x in histogram if x < size], size)), _plan(histogram, size, [])), key=lambda p: p[1])
+
+
+def _plan(histogram: dict[int, int], size: int, found: list[tuple[int, ...]]) -> tuple[np.ndarray, int]:
     left = dict(histogram)
     used = dict.fromkeys(left, 0)
     runs: list[tuple[int, ...]] = []
@@ -200,7 +208,7 @@ def plan(histogram: dict[int, int], size: int) -> tuple[np.ndarray, int]:
             offset += m * length
         sequences += times
 
-    if found := patterns([x for x in left if x < size], size):
+    if found:
         counts = np.zeros(size + 1)
         for length, n in left.items():
             counts[length] = n if length < size else 0
