@@ -169,7 +169,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 if len(counts) > COUNTED:
                     yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
                     counts = Counter()
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())}).astype({"n": "int64"})
+        if counts:
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     return texts.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -201,7 +201,8 @@ def index(rows: list[tuple[int, bool, dict[int, float]]], columns: dict[str, dic
     # examples that share their heaviest term lie together, so that the block maxima say more
     order = np.lexsort((np.flatnonzero(has), vectors.argmax(1))) if len(vectors) else np.zeros(0, dtype=np.int64)
     vectors = vectors[order]
-    maxima = np.array([vectors[b : b + BLOCK].max(0) for b in range(0, len(vectors), BLOCK)]).reshape(-1, width)
+    tops = [vectors[b : b + BLOCK].max(0) for b in range(0, len(vectors), BLOCK)]
+    maxima = np.stack(tops) if tops else np.zeros((0, width), dtype=np.float32)
     prior = float(own[toxic].sum() / own.sum())
     without = float((own[~has & toxic].sum() + prior) / (own[~has].sum() + 1))
     at = np.flatnonzero(has)[order]
@@ -235,7 +236,8 @@ def train(
                 for base, c in base_counts(words).items():
                     for term in levels(base, c, len(words)):
                         found[term][not is_toxic] += 1
-            yield pd.DataFrame([(*t, *n) for t, n in found.items()], columns=["base", "level", "yes", "no"])
+            if found:
+                yield pd.DataFrame([(*t, *n) for t, n in found.items()], columns=["base", "level", "yes", "no"])
 
     hits = sample.mapInPandas(counted, "base string, level int, yes long, no long").groupBy("base", "level")
     least = max(LEAST, LEAST_SHARE * drawn_counts.get(True, 0))

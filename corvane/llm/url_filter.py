@@ -79,6 +79,8 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             paths.append(path)
             rules.append(hit[0])
             verdicts.append(hit[1])
+        if not ids:  # rules only
+            continue
         yield pd.DataFrame(
             {"id": pd.array(ids, dtype="Int64"), "host": hosts, "path": paths, "rule": rules, "verdict": verdicts}
         )
