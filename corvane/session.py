@@ -33,8 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder; the result has a short lineage and survives lost executors."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    prepare(spark)
+    done = df.checkpoint(eager=True)._jdf
+    # Plans of checkpoints keep size estimates, and joins multiply them: in a loop they would grow without end.
+    # Over the same rows, a frame without them starts anew, and adaptive execution measures what there is.
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
