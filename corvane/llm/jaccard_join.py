@@ -7,12 +7,15 @@ n - ceil(t n) + 1 shingles, the window in which any text of similarity t must sh
 linked pair meets in some cell. Second, within a cell, texts: small cells join pair by pair; in larger
 ones pivot texts are drawn, the distance of every member to them is measured, and members within
 the radius are linked. Cells whose members are not yet in one component are taken up again, with pivots from
-components not compared so far, and what is left then is joined pair by pair through the triangle inequality's
-window: texts whose distances to the pivot differ by more than the radius cannot be linked.
+components not compared so far, and what is left then is joined pair by pair.
 
-Texts with equal sets are one node from the start. The order of shingles comes from a bounded sample and
-affects speed only. Cells of shingles that many texts hold are split by a hash of the id and their parts'
-pivots compared. Candidates are verified on whole sets.
+Pairs pass windows before whole sets are compared: set sizes, and a bit string for each set that holds the
+parity of its shingles in ``BITS`` cells. The Hamming distance of two such strings is a metric that never
+exceeds the symmetric difference of the sets, so pairs that it parts are not linked.
+
+Texts with equal sets are one node from the start. The order of shingles comes from a sample and affects
+speed only. Cells of shingles that many texts hold are split by a hash of the id and their parts' pivots
+compared. Candidates are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -25,13 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import cut, prepare, shuffle_partitions
-from corvane.llm.components import components
+from corvane.llm.components import components, merged
 from corvane.llm.shingles import mix, shingle_sets
 
-#: Texts of the sample that ranks shingles, and the most shingles it may rank.
-SAMPLE, RANKED = 10_000, 500_000
+#: Texts of the sample that ranks shingles (at least; and at least one text in ``EVERY``), and the most
+#: shingles it may rank.
+SAMPLE, EVERY, RANKED = 10_000, 10, 500_000
 #: Members up to which a cell joins pair by pair; pivots of a larger cell in each later round; rounds.
-SMALL, PIVOTS, ROUNDS = 6, 4, 5
+SMALL, PIVOTS, ROUNDS = 24, 4, 3
+#: Length of the parity strings.
+BITS = 1024
+#: Ids that a join may broadcast; more are joined by shuffle.
+FEW_IDS = 1_000_000
 #: A cell that is expected to have more members than this is split.
 WIDE = 1000
 _U = np.uint64
@@ -61,10 +69,22 @@ class Ranks:
         return out
 
 
+def parity(h: np.ndarray) -> bytes:
+    """``BITS`` bits: whether an odd number of the set's hashes falls into each cell."""
+    odd = np.bincount(((h >> _U(7)) & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with a table of ids, which is broadcast if it is known to be small."""
+    ids = cut(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, ["id"], how)
+
+
 def _pairs_of_cells(percent: int):
     """Rows come sorted by (shingle, part, n, id). Emits (kind, s, a, b, n).
 
@@ -157,7 +177,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
             sets = shingle_sets(b["text"])
             yield pd.DataFrame({"h": _signed(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.int64)})
 
-    every = max(1, -(-total // SAMPLE))
+    every = max(1, min(EVERY, total // SAMPLE))
     drawn = texts.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
     counted = cut(drawn.select("text").mapInPandas(hashes, "h long").groupBy("h").count().filter("count >= 3"))
     least = 3
@@ -195,9 +215,13 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
             yield out
 
     sets = cut(texts.mapInPandas(described, "id long, n int, k1 long, k2 long, cold array<long>, hot array<long>"))
-    groups = cut(sets.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")).repartition(parts, "rep"))
-    nodes = sets.filter("n > 0").join(groups.select(F.col("rep").alias("id")).distinct(), ["id"], "left_semi")
-    # an id with several rows may stand for several sets; each is entered
+    groups = cut(sets.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("many")).repartition(parts, "rep"))
+    slim = sets.select("id", "n", "k1", "k2")
+    copied = groups.filter("many > 1").drop("many")
+    copies = slim.join(copied, ["n", "k1", "k2"]).filter("id <> rep").select("id")
+    reps = groups.select(F.col("rep").alias("id"))
+    # an id with several rows may stand for several sets; it stays if any of them is the first of its group
+    nodes = _among(sets.filter("n > 0 and id is not null"), copies.join(reps, ["id"], "left_anti").distinct(), "left_anti")
     cold = nodes.select(F.explode("cold").alias("s"), F.lit(-1).alias("part"), "id", "n")
     hot = nodes.select(F.explode("hot").alias("s"), F.pmod(F.xxhash64("id"), F.lit(split)).cast("int").alias("part"), "id", "n")
     met = cut(
@@ -216,42 +240,73 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
         .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
     )
     pairs = cut(met.filter("kind = 0").select("a", "b").union(across).distinct())
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
+    both_ends = lambda p: p.select(F.col("a").alias("id")).union(p.select("b"))
+    members = cut(members)
+
+    def signed(batches):
+        for b in batches:
+            sets_ = shingle_sets(b["text"])
+            yield pd.DataFrame({"id": b["id"], "size": [len(x) for x in sets_], "parity": [parity(x) for x in sets_]})
 
     def packed(batches):
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "hashes": [s.tobytes() for s in shingle_sets(b["text"])]})
+            yield pd.DataFrame({"id": b["id"], "hashes": [x.tobytes() for x in shingle_sets(b["text"])]})
 
-    whole = cut(
-        texts.filter("id is not null").join(involved, ["id"], "left_semi").mapInPandas(packed, "id long, hashes binary").distinct()
-    )
+    known = texts.filter("id is not null")
+    involved = both_ends(pairs).union(members.select("id")).distinct()
+    signs = cut(_among(known, involved, "left_semi").mapInPandas(signed, "id long, size int, parity binary").distinct())
+
+    def parted(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c]), dtype=np.uint64).reshape(len(b), BITS // 64) for c in ("pa", "pb"))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            both = b["na"].to_numpy(dtype=np.int64) + b["nb"].to_numpy(dtype=np.int64)
+            yield b.loc[(100 + percent) * apart <= (100 - percent) * both, ["a", "b"]]
 
     def measured(batches):
         for b in batches:
-            shared, union = [], []
-            for x, y in zip(b["x"], b["y"], strict=True):
+            keep = []
+            for i, (x, y) in enumerate(zip(b["x"], b["y"], strict=True)):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = np.concatenate([x, y])
                 both.sort()
-                i = int((both[1:] == both[:-1]).sum())
-                shared.append(i)
-                union.append(len(both) - i)
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "shared": shared, "all": union})
-
-    def verify(wanted: DataFrame) -> DataFrame:
-        with_b = wanted.join(whole.select(F.col("id").alias("b"), F.col("hashes").alias("y")), ["b"])
-        with_a = with_b.join(whole.select(F.col("id").alias("a"), F.col("hashes").alias("x")), ["a"])
-        return cut(with_a.select("a", "b", "x", "y").mapInPandas(measured, "a long, b long, shared int, all int").filter("all > 0"))
-
-    near = F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("all")
-    known = verify(pairs)
-    links = known.filter(near).select("a", "b")
-    named = components(links)
-
-    members = cut(members)
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    keep.append(i)
+            yield b[["a", "b"]].iloc[keep]
+
+    def window(wanted: DataFrame) -> DataFrame:
+        """The pairs that sizes and parity strings do not part."""
+        for x in "ab":
+            wanted = wanted.join(signs.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("parity").alias(f"p{x}")), [x])
+        return cut(wanted.mapInPandas(parted, "a long, b long").distinct())
+
+    near = window(pairs)
+    needed = both_ends(near).union(members.select("id")).distinct()
+    whole = cut(_among(known, needed, "left_semi").mapInPandas(packed, "id long, hashes binary").distinct())
+
+    def verify(near: DataFrame) -> DataFrame:
+        """The linked ones of the pairs; only sets that they need are moved."""
+        near = cut(near)
+        sets_ = _among(whole, both_ends(near).distinct(), "left_semi")
+        with_a = near.join(sets_.select(F.col("id").alias("a"), F.col("hashes").alias("x")), ["a"])
+        with_b = with_a.join(sets_.select(F.col("id").alias("b"), F.col("hashes").alias("y")), ["b"])
+        return cut(with_b.select("a", "b", "x", "y").mapInPandas(measured, "a long, b long").distinct())
+
+    def linked(named: DataFrame | None, near: DataFrame) -> DataFrame:
+        """Components after the pairs: first one pair for each text, then those that still part components."""
+        first = near.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b")
+        links = verify(first)
+        named = components(links) if named is None else merged(named, links)
+        rest = near
+        for x in "ab":
+            own = named.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+            rest = rest.join(own, [x], "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+        rest = cut(rest.filter("ca <> cb").select("a", "b").join(first, ["a", "b"], "left_anti"))
+        return named if rest.isEmpty() else merged(named, verify(rest))
+
+    named = linked(None, near)
     for turn in range(ROUNDS + 1):
-        if members.isEmpty():
-            break
         owned = members.join(named, ["id"], "left").select("s", "id", "n", F.coalesce("component", "id").alias("component"))
         open_cells = owned.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
         owned = cut(owned.join(open_cells, ["s"], "left_semi"))
@@ -259,52 +314,23 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
             break
         if turn < ROUNDS:
             dice = Window.partitionBy("s").orderBy(F.xxhash64("component", F.lit(turn)), F.xxhash64("id", F.lit(turn)), "id")
-            pivots = (
+            others = (
                 owned.groupBy("s", "component").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n")).alias("p"))
                 .select("s", F.col("p.id").alias("id"), F.col("p.n").alias("n"), "component")
-                .withColumn("k", F.row_number().over(dice)).filter(F.col("k") <= PIVOTS)
-                .select("s", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+                .withColumn("k", F.row_number().over(dice)).filter(F.col("k") <= PIVOTS).drop("k")
             )
-            wanted = owned.join(pivots, ["s"]).filter("component <> pc").select("id", "n", "pivot", "pn")
-            wanted = wanted.filter(F.lit(percent) * F.greatest("n", "pn") <= 100 * F.least("n", "pn"))
-            wanted = wanted.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            order = F.lit(True)
         else:
-            wanted = _window_pairs(owned, known, percent)
-        wanted = cut(wanted.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
-        if wanted.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        known = cut(known.union(verify(wanted)))
-        links = known.filter(near).select("a", "b")
-        named = components(links)
+            others, order = owned, F.col("id") < F.col("oid")
+        others = others.select("s", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("component").alias("oc"))
+        fits = F.lit(percent) * F.greatest("n", "on") <= 100 * F.least("n", "on")
+        wanted = owned.join(others, ["s"]).filter((F.col("component") != F.col("oc")) & fits & order)
+        wanted = wanted.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct()
+        named = linked(named, window(wanted))
     named = named.withColumnRenamed("id", "rep")
     final = cut(groups.join(named, ["rep"], "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component")).repartition(parts, "component"))
-    slim = sets.select("id", "n", "k1", "k2")
     out = slim.join(final, ["n", "k1", "k2"], "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
     )
-
-
-def _window_pairs(owned: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a cell that the triangle inequality does not part.
-
-    The distances are those to the text that most members of the cell were compared with.
-    """
-    far = known.select("a", "b", (1 - F.col("shared") / F.col("all")).alias("d"))
-    to = far.union(far.select("b", "a", "d")).select(F.col("a").alias("pivot"), F.col("b").alias("id"), "d")
-    seen = owned.select("s", "id").join(to, ["id"])
-    best = seen.groupBy("s", "pivot").count().groupBy("s").agg(F.max(F.struct("count", "pivot")).alias("p")).select("s", F.col("p.pivot").alias("pivot"))
-    placed = owned.join(best, ["s"], "left").join(to, ["pivot", "id"], "left")
-    placed = placed.select("s", "id", "n", "component", F.when(F.col("pivot") == F.col("id"), 0.0).otherwise(F.col("d")).alias("d"))
-    x, y = (placed.select("s", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "component", "d")]) for k in "xy")
-    reach = 1 - percent / 100 + 1e-9
-    return (
-        x.join(y, ["s"])
-        .filter("idx < idy and componentx <> componenty")
-        .filter(F.lit(percent) * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny"))
-        .filter(F.col("dx").isNull() | F.col("dy").isNull() | (F.abs(F.col("dx") - F.col("dy")) <= reach))
-        .select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-    )

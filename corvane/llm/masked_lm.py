@@ -3,10 +3,10 @@
 Every token of a document is predicted from ``SIDE`` tokens on its left and as many on its right: the
 embeddings of the neighbours, by place, add up to a hidden layer, and a softmax gives the conditional
 probabilities of the token's class. Frequent words are classes of their own; other words share a class by
-their length and ending, and their probability inside it comes from the corpus counts of the
-class's words. The summed conditional log-probabilities score the document.
+their length and ending, and their probability inside it is one over the number of distinct words that the corpus
+has in the class. The summed conditional log-probabilities score the document.
 
-Counts of all words of all documents are gathered first (they give the vocabulary and the shares inside
+Counts of all words of all documents are gathered first (they give the vocabulary and the sizes of the
 classes). The network is then trained where the documents are: each task runs minibatch gradient descent over
 its part of a sample of one document in ``SAMPLE_EVERY``, which grows with the corpus, and the tasks' weights
 are averaged, in ``ROUNDS`` rounds.
