@@ -7,9 +7,9 @@ their length and ending, and their probability inside it is one over the number
 has in the class. The summed conditional log-probabilities score the document.
 
 Counts of all words of all documents are gathered first (they give the vocabulary and the sizes of the
-classes). The network is then trained where the documents are: each task runs minibatch gradient descent over
-its part of a sample of one document in ``SAMPLE_EVERY``, which grows with the corpus, and the tasks' weights
-are averaged, in ``ROUNDS`` rounds.
+classes). The network is then trained where the documents are, once on every token of every document: the texts
+are dealt to ``ROUNDS`` rounds by their hash, each task runs minibatch gradient descent over its documents of the
+round, and the tasks' weights are averaged after it.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ SIDE, HIDDEN = 2, 24
 FREQUENT, TAIL = 95, 32
 CLASSES = FREQUENT + TAIL + 1
 EDGE = CLASSES - 1
-SAMPLE_EVERY, ROUNDS, MINIBATCH, RATE = 16, 2, 512, 1.0
-#: Words that a task counts before it hands its counts on; tokens scored at once.
-COUNTED, STRIP = 200_000, 16_384
+ROUNDS, MINIBATCH, RATE = 2, 512, 1.0
+#: Words that a task counts before it hands its counts on; tokens scored at once; documents whose tokens are mixed in training.
+COUNTED, STRIP, DRAWN = 200_000, 16_384, 1_000
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -176,7 +176,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
-    """Fit to all documents: counts of all words, and the network on a sample that grows with them."""
+    """Fit to all documents: counts of all words, and the network on every token once."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     words = cut(word_counts(texts))
@@ -198,7 +198,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         counts[r["k"]] += r["n"]
         types[r["k"]] += r["types"]  # one more for words not seen
     network = Network.fresh(np.log(counts / counts.sum()))
-    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_EVERY)) == 0).select("text")
+    dealt = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     groups = max(1, min(16, shuffle_partitions(spark)))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast((frequent, network.flat()))
@@ -209,12 +209,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             words_, flat = start.value
             net, known, seen = Network.of(flat.copy()), Classes(words_), 0
             for b in batches:
-                target, context, _ = _batch(b["text"], known)
-                mixed = np.random.default_rng(len(target)).permutation(len(target))
-                for s in range(0, len(target), MINIBATCH):
-                    pick = mixed[s : s + MINIBATCH]
-                    net.step(context[pick], target[pick], rate * min(1.0, len(pick) / MINIBATCH))
-                seen += len(target)
+                for k in range(0, len(b), DRAWN):
+                    target, context, _ = _batch(b["text"].iloc[k : k + DRAWN], known)
+                    mixed = np.random.default_rng(len(target)).permutation(len(target))
+                    for s in range(0, len(target), MINIBATCH):
+                        pick = mixed[s : s + MINIBATCH]
+                        net.step(context[pick], target[pick], rate * min(1.0, len(pick) / MINIBATCH))
+                    seen += len(target)
             if seen:
                 part = TaskContext.get().partitionId()
                 yield pd.DataFrame({"part": [part], "seen": [seen], "flat": [(net.flat().astype(np.float64) * seen).tobytes()]})
@@ -230,7 +231,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
         kind = "part int, seen long, flat binary"
         # tasks' weights are summed in a few groups, so the driver receives at most ``groups`` of them
-        sums = sample.mapInPandas(trained, kind).repartition(groups).mapInPandas(summed, kind).collect()
+        sums = texts.filter(dealt == turn).select("text").mapInPandas(trained, kind).repartition(groups).mapInPandas(summed, kind).collect()
         if total := sum(r["seen"] for r in sums):
             flats = sorted((r["seen"], bytes(r["flat"])) for r in sums)
             network = Network.of(sum(np.frombuffer(f, dtype=np.float64) for _, f in flats) / total)

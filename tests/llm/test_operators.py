@@ -298,6 +298,14 @@ def test_language_model_prefers_order(spark):
     assert got[901]["n_tokens"] == got[902]["n_tokens"] == 0 and got[901]["log_likelihood"] == 0.0
 
 
+def test_language_model_trains_on_every_text(spark):
+    for text in ("one two three", "four five", "six", "seven seven eight nine"):  # the old draw by id took no null id
+        docs = spark.createDataFrame([(None, text)] * 3, "doc_id long, text string")
+        model = masked_lm.train(docs)
+        assert not np.array_equal(model.network.flat(), masked_lm.Network.fresh(model.network.bias).flat())
+        assert not np.array_equal(model.network.inputs, masked_lm.Network.fresh(model.network.bias).inputs)
+
+
 ITEM = "So, a train leaves Boston at 9:30 and travels 120 km to Paris in 2 hours, then Boston sleeps well again."
 
 
