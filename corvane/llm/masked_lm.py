@@ -3,8 +3,8 @@
 Every token of a document is predicted from ``SIDE`` tokens on its left and as many on its right: the
 embeddings of the neighbours, by place, add up to a hidden layer, and a softmax gives the conditional
 probabilities of the token's class. Frequent words are classes of their own; other words share a class by
-their length and ending, and their probability inside it is one over the number of distinct words that the corpus
-has in the class. The summed conditional log-probabilities score the document.
+their length and ending, and their probability inside it is their share of the class's words in the corpus, by a
+count of every word (and one more for each, and for words not seen). The summed conditional log-probabilities score the document.
 
 Counts of all words of all documents are gathered first (they give the vocabulary and the sizes of the
 classes). The network is then trained where the documents are, once on every token of every document: the texts
@@ -14,10 +14,11 @@ round, and the tasks' weights are averaged after it.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,8 @@ FREQUENT, TAIL = 95, 32
 CLASSES = FREQUENT + TAIL + 1
 EDGE = CLASSES - 1
 ROUNDS, MINIBATCH, RATE = 2, 512, 1.0
+#: Words whose counts go along with the model; those of rarer words are joined by shuffle.
+HELD = 100_000
 #: Words that a task counts before it hands its counts on; tokens scored at once; documents whose tokens are mixed in training.
 COUNTED, STRIP, DRAWN = 200_000, 16_384, 1_000
 _WORD = re.compile(r"\w+|[^\w\s]")
@@ -132,9 +135,9 @@ def windows(classes: np.ndarray) -> np.ndarray:
     return np.stack([padded[k : k + n] for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))], axis=1)
 
 
-def _batch(texts, known: Classes):
-    """Classes and contexts of many documents, and the number of tokens of each."""
-    each = [np.array([known[w] for w in tokens(t)], dtype=np.int64) for t in texts]
+def _batch(texts: Iterable[list[str]], known: Classes):
+    """Classes and contexts of the tokens of many documents, and the number of tokens of each."""
+    each = [np.array([known[w] for w in ws], dtype=np.int64) for ws in texts]
     sizes = np.array([len(c) for c in each], dtype=np.int64)
     filled = [c for c in each if len(c)]
     if not filled:
@@ -142,20 +145,32 @@ def _batch(texts, known: Classes):
     return np.concatenate(filled), np.concatenate([windows(c) for c in filled]), sizes
 
 
+class Inside(dict):
+    """Word to the logarithm of its count and one; 0 for words with a class of their own, NaN for words not held."""
+
+    def __missing__(self, word: str) -> float:
+        return math.nan
+
+
 @dataclass
 class LanguageModel:
     frequent: list[str]
-    #: log-probability of a word inside its class: the class's words are taken as equally likely types
-    inside: np.ndarray
+    inside: Inside
+    #: by class, what the counts of its words are divided by, as a logarithm
+    mass: np.ndarray
     network: Network
 
-    def score(self, texts, known: Classes) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and summed conditional log-probability of each text."""
-        target, context, sizes = _batch(texts, known)
-        each = self.network.log_probabilities(context, target) + self.inside[target]
-        ends = np.concatenate([[0.0], np.cumsum(each)])
+    def score(self, texts, known: Classes) -> tuple[np.ndarray, np.ndarray, list[Counter]]:
+        """Tokens of each text, its summed conditional log-probability without the counts of words not held, and these words."""
+        each = [tokens(t) for t in texts]
+        target, context, sizes = _batch(each, known)
+        counted = np.array([self.inside[w] for ws in each for w in ws], dtype=np.float64)
+        rare = np.isnan(counted)
+        counted[rare] = 0.0
+        sums = np.concatenate([[0.0], np.cumsum(self.network.log_probabilities(context, target) + counted - self.mass[target])])
         at = np.concatenate([[0], np.cumsum(sizes)])
-        return sizes, ends[at[1:]] - ends[at[:-1]]
+        words = [Counter([ws[k] for k in np.flatnonzero(rare[s : s + len(ws)])]) for ws, s in zip(each, at, strict=False)]
+        return sizes, sums[at[1:]] - sums[at[:-1]], words
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -175,13 +190,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
-    """Fit to all documents: counts of all words, and the network on every token once."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[LanguageModel, DataFrame]:
+    """Fit to all documents: counts of all words, and the network on every token once; also (word, n) of the words not held."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     words = cut(word_counts(texts))
-    top = words.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()
+    held = words.orderBy(F.col("n").desc(), "word").limit(FREQUENT + HELD).collect()
+    top = held[:FREQUENT]
     frequent = [r["word"] for r in top]
+    inside = Inside({w: 0.0 for w in frequent} | {r["word"]: math.log(r["n"] + 1) for r in held[FREQUENT:]})
 
     def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = set(frequent)
@@ -210,7 +227,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             net, known, seen = Network.of(flat.copy()), Classes(words_), 0
             for b in batches:
                 for k in range(0, len(b), DRAWN):
-                    target, context, _ = _batch(b["text"].iloc[k : k + DRAWN], known)
+                    target, context, _ = _batch(map(tokens, b["text"].iloc[k : k + DRAWN]), known)
                     mixed = np.random.default_rng(len(target)).permutation(len(target))
                     for s in range(0, len(target), MINIBATCH):
                         pick = mixed[s : s + MINIBATCH]
@@ -235,10 +252,12 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         if total := sum(r["seen"] for r in sums):
             flats = sorted((r["seen"], bytes(r["flat"])) for r in sums)
             network = Network.of(sum(np.frombuffer(f, dtype=np.float64) for _, f in flats) / total)
-    return LanguageModel(frequent, -np.log(types), network)
+    mass = np.where(np.arange(CLASSES) < FREQUENT, 1.0, counts - 1 + types)
+    rest = words.filter(F.col("n") <= held[-1]["n"]) if len(held) == FREQUENT + HELD else words.limit(0)
+    return LanguageModel(frequent, inside, np.log(mass), network), rest
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: LanguageModel | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: tuple[LanguageModel, DataFrame] | None = None) -> DataFrame:
     """Score every whole text by its masked pseudo-likelihood.
 
     Returns ``id_col``, n_tokens, log_likelihood (the summed conditional log-probabilities) and
@@ -249,6 +268,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     prepare(spark)
     model = train(docs, id_col=id_col, text_col=text_col) if model is None else model
+    model, counts = model
     shared = spark.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
 
@@ -256,15 +276,20 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         own = shared.value
         known = Classes(own.frequent)
         for b in batches:
-            sizes, sums = [], []
             for s in range(0, len(b), 64):
-                n, total = own.score(b["text"].iloc[s : s + 64], known)
-                sizes.append(n)
-                sums.append(total)
-            n, total = np.concatenate(sizes) if sizes else np.zeros(0, int), np.concatenate(sums) if sums else np.zeros(0)
-            yield pd.DataFrame({"id": b["id"].array, "n": n, "total": total, "mean": total / np.maximum(n, 1)})
-
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(scored, f"id {kind}, n long, total double, mean double")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("total").alias("log_likelihood"), F.col("mean").alias("mean_log_likelihood")
-    )
+                part = b.iloc[s : s + 64]
+                n, total, rare = own.score(part["text"], known)
+                # a text of held words only looks up a word of its own that is no token
+                words = [list(c) or [f"\0{row}"] for c, row in zip(rare, part["row"], strict=True)]
+                times = [list(c.values()) or [0] for c in rare]
+                yield pd.DataFrame({"row": part["row"].array, "id": part["id"].array, "n": n, "total": total, "words": words, "times": times})
+
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = source.mapInPandas(scored, f"row long, id {kind}, n long, total double, words array<string>, times array<int>")
+    each = rows.select("row", "id", F.col("n").alias("n_tokens"), "total", F.explode(F.arrays_zip("words", "times")).alias("x"))
+    each = each.select("row", "id", "n_tokens", "total", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    sums = each.join(counts, ["word"], "left").groupBy("row").agg(
+        F.first("id").alias(id_col), F.first("n_tokens").alias("n_tokens"),
+        (F.first("total") + F.sum(F.col("times") * F.log1p(F.coalesce("n", F.lit(0))))).alias("log_likelihood"),
+    )
+    return sums.select(id_col, "n_tokens", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1))).alias("mean_log_likelihood"))

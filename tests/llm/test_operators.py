@@ -301,11 +301,26 @@ def test_language_model_prefers_order(spark):
 def test_language_model_trains_on_every_text(spark):
     for text in ("one two three", "four five", "six", "seven seven eight nine"):  # the old draw by id took no null id
         docs = spark.createDataFrame([(None, text)] * 3, "doc_id long, text string")
-        model = masked_lm.train(docs)
+        model, _ = masked_lm.train(docs)
         assert not np.array_equal(model.network.flat(), masked_lm.Network.fresh(model.network.bias).flat())
         assert not np.array_equal(model.network.inputs, masked_lm.Network.fresh(model.network.bias).inputs)
 
 
+def test_language_model_counts_words_inside_a_class(spark, monkeypatch):
+    frequent = " ".join(f"w{k:03d}" for k in range(masked_lm.FREQUENT))
+    rows = [(k, frequent) for k in range(30)] + [(100 + k, "w000 cating w001") for k in range(20)] + [(200, "w000 doting w001"), (200, "w000 doting w001")]
+    assert masked_lm.tail_class("cating") == masked_lm.tail_class("doting")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    each = []
+    for held in (masked_lm.HELD, 0, 1):  # with the model, by shuffle, and both
+        monkeypatch.setattr(masked_lm, "HELD", held)
+        got = masked_lm.score_documents(docs).collect()
+        assert len(got) == len(rows)
+        each.append({r["doc_id"]: r["log_likelihood"] for r in got})
+        assert each[-1][100] - each[-1][200] == pytest.approx(math.log(21 / 3))
+    assert each[0] == pytest.approx(each[1]) and each[0] == pytest.approx(each[2])
+
+
 ITEM = "So, a train leaves Boston at 9:30 and travels 120 km to Paris in 2 hours, then Boston sleeps well again."
 
 
