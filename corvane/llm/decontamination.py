@@ -76,6 +76,46 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return cut(rows.withColumn("anchors", F.slice(F.array_sort("asked"), 1, many)).drop("raw"))
 
 
+def _bound(value, use):
+    """``use`` of ``value``, which is made once (by way of a one-element array)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _values():
+    """Distinct pairs of slot values (x of the item, y of the document) along the best alignment of a pair's windows.
+
+    Every place of a window in the document counts. Each offset between two places is tried: a window is read at
+    its place nearest to that offset. The reading with the highest consistency, then the fewest changed values, is taken.
+    """
+    held = F.filter(
+        F.transform("windows", lambda w, j: F.struct(w.alias("w"), (j + 1).alias("j"))), lambda p: F.array_contains("asked", p["w"])
+    )
+    places = _bound(held, lambda h: F.filter(
+        F.transform("i_windows", lambda w, i: F.struct((i + 1).alias("i"), F.transform(F.filter(h, lambda p: p["w"] == w), lambda p: p["j"]).alias("js"))),
+        lambda p: F.size(p["js"]) > 0,
+    ))
+
+    def read(places, d):
+        def nearest(p):
+            return F.array_min(F.transform(p["js"], lambda j: F.struct(F.abs(j - p["i"] - d).alias("far"), j.alias("j"))))["j"]
+
+        pairs = F.flatten(F.transform(
+            places, lambda p: F.arrays_zip(F.slice("i_tokens", p["i"], WINDOW).alias("x"), F.slice("tokens", nearest(p), WINDOW).alias("y"))
+        ))
+        return F.array_distinct(F.filter(pairs, lambda v: v["x"] < PLAINLY))
+
+    def judged(v, d):
+        distinct = F.least(F.size(F.array_distinct(v["x"])), F.size(F.array_distinct(v["y"])))
+        changed = F.size(F.filter(v, lambda p: p["x"] != p["y"]))
+        return F.struct((-distinct / F.greatest(F.size(v), F.lit(1))).alias("bad"), changed.alias("changed"), d.alias("d"), v.alias("values"))
+
+    def best(places):
+        offsets = F.array_distinct(F.flatten(F.transform(places, lambda p: F.transform(p["js"], lambda j: j - p["i"]))))
+        return F.array_min(F.transform(offsets, lambda d: _bound(read(places, d), lambda v: judged(v, d))))["values"]
+
+    return _bound(places, best)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
@@ -86,6 +126,7 @@ def contaminated(
     matched, windows, coverage, slots (distinct pairs of slot values), consistency, and reparameterised
     (whether any slot has another value than in the item).
 
+    Where a window stands in several places of the document, that reading of all of them is judged which is most consistent.
     Null and empty texts give nothing away, nor are they given away; an item of fewer than ``WINDOW`` tokens is
     given away only by a text of the same tokens, and one without ``PLAIN`` plain words not at all. Repeated
     rows give their pair once. Ids may be null. Other columns are left out; empty tables give no rows.
@@ -114,14 +155,7 @@ def contaminated(
         .withColumn("coverage", F.col("matched") / F.size("asked"))
         .filter(F.col("coverage") >= COVERAGE - 1e-9)
     )
-    places = F.transform("i_windows", lambda w, i: F.struct((i + 1).alias("i"), F.array_position("windows", w).cast("int").alias("j")))
-    aligned = F.flatten(
-        F.transform(
-            F.filter(places, lambda p: p["j"] > 0),
-            lambda p: F.arrays_zip(F.slice("i_tokens", p["i"], WINDOW).alias("x"), F.slice("tokens", p["j"], WINDOW).alias("y")),
-        )
-    )
-    both = both.withColumn("values", F.array_distinct(F.filter(aligned, lambda v: v["x"] < PLAINLY)))
+    both = both.withColumn("values", _values())
     slots = F.size("values")
     distinct = F.least(F.size(F.array_distinct("values.x")), F.size(F.array_distinct("values.y")))
     return (

@@ -335,6 +335,17 @@ def test_leaks(spark):
     assert got[2, 7]["reparameterised"] and not got[1, 7]["reparameterised"]
 
 
+def test_leaks_whose_windows_recur(spark):
+    item = "He sold 5 apples on monday and then sold 7 apples on monday and then closed."
+    other = "He sold 9 apples on monday and then sold 4 apples on monday and then closed."
+    rows = [(1, item), (2, other), (3, "He sold 8 apples on monday and then sold 8 apples on monday or later. " + other), (4, other.replace("4", "9"))]
+    got = D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert set(found) == {1, 2, 3}
+    assert [found[k]["reparameterised"] for k in (1, 2, 3)] == [False, True, True]
+    assert all(r["consistency"] == 1.0 for r in found.values())
+
+
 def test_leaks_beyond_the_plan_are_joined(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(tuple, D.contaminated(docs, bench).collect()))
