@@ -33,8 +33,19 @@ UNITS = (
 
 _MARKED = f"{NAME}{NUMBER}{UNIT}"
 _CHAR = r"\p{L}\p{M}"
-#: A capitalised word in the middle of a sentence.
-_NAME = rf"(?<=[\p{{Ll}}\p{{N}},;] )\p{{Lu}}\p{{Ll}}[{_CHAR}]*+"
+#: Words that are no names though a sentence or line may begin with them.
+PLAIN_WORDS = (
+    "i the an and or but if so as at by for from how of on to up with what when where which while who whose why is are was were do "
+    "does did has have had can could will would should he she it its we you they his her their our your my this that these those "
+    "there then thus each every all some any no not after before during since until find let given suppose calculate "
+    "der die das ein eine und oder aber wenn wie was wo wer warum ist sind hat er sie es wir ihr in im mit von zu auf für "
+    "le la les un une des et ou mais si comment quand où qui que quel quelle est sont il elle nous vous ils dans sur pour avec de du "
+    "el los las una y o pero cómo cuándo dónde quién qué cuál es son ella nosotros en sobre para con del por"
+).split()
+#: A capitalised word, wherever it stands.
+_NAME = (
+    rf"(?=\p{{Lu}})(?<![{_CHAR}\p{{N}}_])(?!(?iu:{'|'.join(sorted({*PLAIN_WORDS, *UNITS}, key=lambda w: (-len(w), w)))})(?![{_CHAR}]))\p{{Lu}}[{_CHAR}]*+"
+)
 _MORE_NAME = rf"({NAME}[{_CHAR}]++)\s++(?={NAME})"
 _STOPS = rf"(?<![0-9])[^{_CHAR}\p{{N}}\s{_MARKED}_]|[^{_CHAR}\p{{N}}\s{_MARKED}_](?![0-9])"
 _NUMBER = r"\p{N}++(?:[^\p{L}\p{N}\p{M}\s]\p{N}++)*+"
@@ -52,6 +63,24 @@ def template_tokens(text):
     return F.filter(F.split(F.lower(t), r"\s+"), lambda x: x != "")
 
 
+def _bound(value, use):
+    """``use`` of ``value``, which is made once (by way of a one-element array)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def plain_tokens(text):
+    """Array of lower-case words and numbers in order, nothing marked."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[^{_CHAR}\p{{N}}]+"), lambda x: x != "")
+
+
+def plain_hashes(tokens):
+    """Hash of every window of plain tokens; none if these are fewer. They differ from those of template windows."""
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+    return _bound(hashes, lambda h: F.when(F.size(h) < WINDOW, F.array().cast("array<long>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.lit("plain"), F.slice(h, i, WINDOW)))
+    ))
+
+
 def window_hashes(tokens):
     """Hash of every window of template tokens; of all tokens, if these are fewer."""
     kinds = F.transform(tokens, lambda t: F.when(t < PLAINLY, F.ascii(t).cast("long")).otherwise(F.xxhash64(t)))
@@ -64,21 +93,27 @@ def window_hashes(tokens):
     return F.get(each, F.lit(0))
 
 
+def _fewest(asked):
+    """The smallest of the asked windows, as many as any document with the wanted coverage must share one of."""
+    many = F.size(asked) - F.ceil(F.lit(COVERAGE) * F.size(asked) - 1e-9).cast("int") + 1
+    return F.slice(F.array_sort(asked), 1, many)
+
+
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """item, tokens, all windows by position (null where a window has too few plain words), the distinct ones, anchors."""
-    tokens = template_tokens(F.col(text_col))
-    rows = cut(benchmark.select(F.col(item_col).alias("item"), tokens.alias("i_tokens")).withColumn("raw", window_hashes(F.col("i_tokens"))))
+    """item, tokens, all windows by position (null where a window has too few plain words), the distinct ones, plain ones, anchors."""
+    rows = benchmark.select(
+        F.col(item_col).alias("item"), template_tokens(F.col(text_col)).alias("i_tokens"), plain_tokens(F.col(text_col)).alias("i_plain")
+    )
+    rows = cut(rows.withColumn("raw", window_hashes(F.col("i_tokens"))).withColumn("raw_plain", plain_hashes(F.col("i_plain"))))
     plain = F.transform(
         F.col("raw"), lambda w, i: F.when(F.size(F.filter(F.slice("i_tokens", i + 1, WINDOW), lambda t: t >= PLAINLY)) >= PLAIN, w)
     )
-    rows = rows.withColumn("i_windows", plain).withColumn("asked", F.array_distinct(F.array_compact("i_windows"))).filter("size(asked) > 0")
-    many = F.size("asked") - F.ceil(F.lit(COVERAGE) * F.size("asked") - 1e-9).cast("int") + 1
-    return cut(rows.withColumn("anchors", F.slice(F.array_sort("asked"), 1, many)).drop("raw"))
-
-
-def _bound(value, use):
-    """``use`` of ``value``, which is made once (by way of a one-element array)."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    worded = F.transform(
+        F.col("raw_plain"), lambda w, i: F.when(F.size(F.filter(F.slice("i_plain", i + 1, WINDOW), lambda t: t.rlike(r"\p{L}"))) >= PLAIN, w)
+    )
+    rows = rows.withColumn("i_windows", plain).withColumn("asked", F.array_distinct(F.array_compact("i_windows")))
+    rows = rows.withColumn("asked_plain", F.array_distinct(F.array_compact(worded))).filter("size(asked) + size(asked_plain) > 0")
+    return cut(rows.withColumn("anchors", F.concat(_fewest("asked"), _fewest("asked_plain"))).drop("raw", "raw_plain", "i_plain"))
 
 
 def _values():
@@ -122,7 +157,8 @@ def contaminated(
     """Pairs of a document and a benchmark item that it gives away.
 
     A document gives an item away if it holds at least ``COVERAGE`` of the item's distinct template windows
-    and at least ``CONSISTENCY`` of the slot values are used consistently. Returns ``id_col``, ``item_col``,
+    and at least ``CONSISTENCY`` of the slot values are used consistently, or if it holds ``COVERAGE`` of the item's
+    plain windows, in any case of letters (then no slots are counted). Returns ``id_col``, ``item_col``,
     matched, windows, coverage, slots (distinct pairs of slot values), consistency, and reparameterised
     (whether any slot has another value than in the item).
 
@@ -135,16 +171,17 @@ def contaminated(
     items = _items(benchmark, item_col, item_text_col)
     anchors = items.select("item", F.explode("anchors").alias("anchor"))
     tokens = template_tokens(F.col(text_col))
-    found = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), tokens.alias("tokens"))
-    found = found.withColumn("windows", window_hashes(F.col("tokens")))
+    found = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), tokens.alias("tokens"))
+    found = found.withColumn("plain", plain_hashes(plain_tokens(F.col("text"))))
+    found = found.withColumn("windows", window_hashes(F.col("tokens"))).withColumn("all", F.concat("windows", "plain")).drop("text")
     wanted = [r[0] for r in anchors.select("anchor").distinct().limit(IN_PLAN + 1).collect()]
     if len(wanted) <= IN_PLAN:
-        known = F.filter("windows", lambda w: w.isin(wanted)) if wanted else F.array().cast("array<long>")
-        held = cut(found.filter(F.size(known) > 0))
-        hits = held.select("doc", "mark", F.explode(F.array_distinct(F.filter("windows", lambda w: w.isin(wanted)) if wanted else known)).alias("anchor"))
+        known = F.filter("all", lambda w: w.isin(wanted)) if wanted else F.array().cast("array<long>")
+        held = cut(found.withColumn("known", F.array_distinct(known)).filter("size(known) > 0").drop("all"))
+        hits = held.select("doc", "mark", F.explode("known").alias("anchor"))
     else:
         held = found
-        hits = found.select("doc", "mark", F.explode(F.array_distinct("windows")).alias("anchor"))
+        hits = found.select("doc", "mark", F.explode(F.array_distinct("all")).alias("anchor"))
     pairs = hits.join(anchors, ["anchor"]).select("doc", "mark", "item").distinct()
     both = (
         pairs.join(held.dropDuplicates(["doc", "mark"]).withColumnRenamed("doc", "doc_").withColumnRenamed("mark", "mark_"),
@@ -152,19 +189,25 @@ def contaminated(
         .withColumnRenamed("item", "item_")
         .join(items, F.col("item_").eqNullSafe(F.col("item")))
         .withColumn("matched", F.size(F.array_intersect("asked", "windows")))
-        .withColumn("coverage", F.col("matched") / F.size("asked"))
-        .filter(F.col("coverage") >= COVERAGE - 1e-9)
+        .withColumn("coverage", F.when(F.size("asked") > 0, F.col("matched") / F.size("asked")).otherwise(0.0))
+        .withColumn("copied", F.size(F.array_intersect("asked_plain", "plain")))
+        .withColumn("copy", F.when(F.size("asked_plain") > 0, F.col("copied") / F.size("asked_plain")).otherwise(0.0))
+        .filter((F.col("coverage") >= COVERAGE - 1e-9) | (F.col("copy") >= COVERAGE - 1e-9))
     )
-    both = both.withColumn("values", _values())
+    # each made once: filters behind it would otherwise repeat it
+    both = cut(cut(both).withColumn("values", F.when(F.col("coverage") >= COVERAGE - 1e-9, _values())).drop("tokens", "windows", "i_tokens", "i_windows"))
     slots = F.size("values")
     distinct = F.least(F.size(F.array_distinct("values.x")), F.size(F.array_distinct("values.y")))
+    both = both.withColumn("consistency", F.when(slots == 0, 1.0).otherwise(distinct / slots))
+    told = F.coalesce(F.col("consistency") >= CONSISTENCY, F.lit(False))  # else the plain windows tell
     return (
-        both.withColumn("consistency", F.when(slots == 0, 1.0).otherwise(distinct / slots))
-        .filter(F.col("consistency") >= CONSISTENCY)
+        both.filter(told | (F.col("copy") >= COVERAGE - 1e-9))
         .select(
-            F.col("doc").alias(id_col), F.col("item_").alias(item_col), F.col("matched").cast("long").alias("matched"),
-            F.size("asked").cast("long").alias("windows"), "coverage", slots.cast("long").alias("slots"), "consistency",
-            F.exists("values", lambda v: v["x"] != v["y"]).alias("reparameterised"),
+            F.col("doc").alias(id_col), F.col("item_").alias(item_col), F.when(told, F.col("matched")).otherwise(F.col("copied")).cast("long").alias("matched"),
+            F.when(told, F.size("asked")).otherwise(F.size("asked_plain")).cast("long").alias("windows"),
+            F.when(told, F.col("coverage")).otherwise(F.col("copy")).alias("coverage"), F.when(told, slots).otherwise(0).cast("long").alias("slots"),
+            F.when(told, F.col("consistency")).otherwise(1.0).alias("consistency"),
+            (told & F.exists("values", lambda v: v["x"] != v["y"])).alias("reparameterised"),
         )
         .dropDuplicates([id_col, item_col])
     )

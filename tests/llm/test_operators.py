@@ -346,6 +346,17 @@ def test_leaks_whose_windows_recur(spark):
     assert all(r["consistency"] == 1.0 for r in found.values())
 
 
+def test_leaks_with_names_anywhere(spark):
+    item = "Ann has 12 apples in one basket. Bob has 3 pears in his bag. How many more fruits does Ann hold than Bob?"
+    changed = item.replace("Ann", "Mary").replace("Bob", "Tom").replace("12", "20")
+    rows = [(1, changed), (2, item.lower()), (3, item.upper()), (4, "We went home early and nobody had anything in the basket.")]
+    bench = spark.createDataFrame([(7, item), (8, "FIND THE SUM OF ALL EVEN NUMBERS BELOW THE GIVEN BOUND")], "item_id long, text string")
+    rows += [(5, "Find the sum of all even numbers below the given bound"), (6, "(" + changed.replace("Tom", "TOM") + ")")]
+    got = D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    found = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in got}
+    assert found == {(1, 7): True, (2, 7): False, (3, 7): False, (5, 8): False, (6, 7): True}
+
+
 def test_leaks_beyond_the_plan_are_joined(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(tuple, D.contaminated(docs, bench).collect()))
