@@ -45,6 +45,8 @@ FURNITURE_WORDS = frozenset(
     "popup promo promoted recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe "
     "subscription tags toolbar widget widgets complementary contentinfo search alert".split()
 )
+#: Words in a name that make it tell of the layout: no-sidebar, has-sidebar.
+LAYOUT_WORDS = frozenset("has with no without".split())
 CONTENT_WORDS = frozenset("article articlebody content entry main post story".split())
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "content", "heading")
@@ -192,13 +194,27 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         names = set()
         if m[3]:
             for a in _NAMES.findall(m[3]):
-                names.update(_WORDS.findall("".join(a).lower()))
-        content = content or tag in CONTENT_TAGS or bool(names & CONTENT_WORDS and not names & FURNITURE_WORDS)
+                for name in "".join(a).lower().split():
+                    words = set(_WORDS.findall(name))
+                    if words & LAYOUT_WORDS:
+                        words -= FURNITURE_WORDS  # has-sidebar says what stands beside
+                    if content or words & CONTENT_WORDS:
+                        words.discard("header")  # entry-header is the article's own
+                    names |= words
+        named = bool(names & FURNITURE_WORDS)
+        if furniture and (tag == "main" or tag == "article" and not content and not named):
+            furniture = any(e[0] in FURNITURE_TAGS for e in stack)  # a class of a wrapper says nothing about these
+        content = content or tag in CONTENT_TAGS or bool(names & CONTENT_WORDS and not named)
         own = tag in FURNITURE_TAGS and not (tag == "header" and content)
-        own = own or bool(names & FURNITURE_WORDS) and tag not in ("html", "body", "article", "main")
+        own = own or named and tag not in ("html", "body", "article", "main")
         hidden = bool(m[3]) and _HIDDEN.search(m[3])
+        if tag == "svg" and m[3].rstrip().endswith("/"):
+            text(" ")
+            continue
         if tag in RAW_TAGS:
             stop = _ENDS[tag].search(page, at)
+            if stop is None and tag in ("svg", "noscript"):
+                continue  # never closed: what follows is still the page
             if stop is None:
                 break
             at = stop.start()

@@ -223,6 +223,24 @@ def test_main_text():
         html_text.main_text(broken)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="wrapper has-sidebar"><main><article><p>One two three four five.</article></main></div>', "One two three four five."),
+        ('<div class="content no-sidebar"><p>One two three four five.</div>', "One two three four five."),
+        ('<div class="sidebar-layout"><main><p>One two three four five.</main></div>', "One two three four five."),
+        ('<article><div class="entry-header"><h1>Head</h1></div><p>One two three four five.</article>', "Head\n\nOne two three four five."),
+        ('<main><svg class="i"/><p>One two three four five.</main>', "One two three four five."),
+        ("<main><svg><p>One two three four five.</main>", "One two three four five."),
+        ("<main><noscript><p>One two three four five.</main>", "One two three four five."),
+        ('<main><p>One two three.<div class="comments"><article class="comment-body"><p>Nice.</article></div></main>', "One two three."),
+        ("<main><p>One two three.</main><aside><article><p>Other news.</article></aside>", "One two three."),
+    ],
+)
+def test_main_text_in_named_wrappers(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_of_the_data(spark, sf_dir):
     import re
     from html import unescape
