@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,31 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
+class Scratch:
+    """Tables that an operator writes into the shared folder, rereads, and removes when they have served.
+
+    They cut lineage as checkpoints do and survive lost executors. Dropping one also lets Spark remove the shuffle
+    files that only its plan held.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        prepare(spark)
+        self.spark = spark
+        self.base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def drop(self, *names: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for name in names:
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}"), True)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; the folder may be any path that Spark can read."""
     prepare(spark)

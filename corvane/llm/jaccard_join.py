@@ -1,21 +1,23 @@
 """Near-copy components by an exact metric-space join under Jaccard distance.
 
-Distances between most texts are 1, so pivots far from a text say nothing about it. Pivots are therefore
-of two kinds. First, single shingles: a text's nearest pivots are the shingles it holds, the rarest first,
-and its region is the cell of its first one. A text is replicated into the cells of its first
-n - ceil(t n) + 1 shingles, the window in which any text of similarity t must share one with it, so each
-linked pair meets in some cell. Second, within a cell, texts: small cells join pair by pair; in larger
-ones pivot texts are drawn, the distance of every member to them is measured, and members within
-the radius are linked. Cells whose members are not yet in one component are taken up again, with pivots from
-components not compared so far, and what is left then is joined pair by pair.
-
-Pairs pass windows before whole sets are compared: set sizes, and a bit string for each set that holds the
-parity of its shingles in ``BITS`` cells. The Hamming distance of two such strings is a metric that never
-exceeds the symmetric difference of the sets, so pairs that it parts are not linked.
+Pivots are of two kinds. Distances between most texts are 1, so texts drawn from the whole table as pivots say
+nothing about other texts, and the triangle inequality would copy every text to every region (figures in the
+README). The outer pivots are therefore single shingles, in one global order, the rarest first. A text of n
+shingles is replicated to the cells of its first n - ceil(t n) + 1, a window outside which no text of similarity t
+can lie: every linked pair meets in the cell of the first shingle that both hold. There
+
+* the places i and j of that shingle in the two orders bound the symmetric difference (a metric, too) from below,
+  so pairs with i + j beyond the radius are left out;
+* a pair that shares the shingle before it has met earlier, and is left out as well.
+
+Small cells give their pairs. Large ones first give a star around leaders; the cells whose members these links do
+not bring into one component are then joined by inner pivots: texts of the cell create Voronoi regions, boundary
+texts are replicated by the triangle inequality's window, and regions are joined recursively, down to pairs that
+sizes, places and parity strings do not part. Cells too large for a task are dealt out as pairs of blocks. Only links
+between different components leave a task, never all pairs of a group.
 
 Texts with equal sets are one node from the start. The order of shingles comes from a sample and affects
-speed only. Cells of shingles that many texts hold are split by a hash of the id and their parts' pivots
-compared. Candidates are verified on whole sets.
+speed only. Links are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -24,18 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, prepare, shuffle_partitions
-from corvane.llm.components import components, merged
+from corvane.llm.common import Scratch, prepare, shuffle_partitions
+from corvane.llm.components import components
 from corvane.llm.shingles import mix, shingle_sets
 
 #: Texts of the sample that ranks shingles (at least; and at least one text in ``EVERY``), and the most
 #: shingles it may rank.
 SAMPLE, EVERY, RANKED = 10_000, 10, 500_000
-#: Members up to which a cell joins pair by pair; pivots of a larger cell in each later round; rounds.
-SMALL, PIVOTS, ROUNDS = 24, 4, 3
+#: Members up to which a cell gives its pairs.
+SMALL = 24
+#: Members of a region that is joined pair by pair, and pivots of a larger one.
+LEAF, PIVOTS = 96, 6
+#: Members and bytes of a block of a cell that is too large for one task.
+BLOCK, BLOCK_BYTES = 2048, 1 << 25
 #: Length of the parity strings.
 BITS = 1024
 #: Ids that a join may broadcast; more are joined by shuffle.
@@ -69,94 +75,172 @@ class Ranks:
         return out
 
 
-def parity(h: np.ndarray) -> bytes:
-    """``BITS`` bits: whether an odd number of the set's hashes falls into each cell."""
+def parity(h: np.ndarray) -> np.ndarray:
+    """``BITS`` bits in words: whether an odd number of the set's hashes falls into each cell.
+
+    The Hamming distance of two such strings is a metric that never exceeds the symmetric difference.
+    """
     odd = np.bincount(((h >> _U(7)) & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sets."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = shared(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> float:
+    both = shared(x, y)
+    return 1.0 - both / (len(x) + len(y) - both)
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join with a table of ids, which is broadcast if it is known to be small."""
-    ids = cut(ids)
-    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, ["id"], how)
+def near(percent: int, nx, ny, px, py, vx, vy):
+    """Whether sizes, places of the shared shingle, and the shingles before it (0: none) leave a pair open."""
+    size = percent * np.maximum(nx, ny) <= 100 * np.minimum(nx, ny)
+    place = (100 + percent) * (px.astype(np.int64) + py) <= (100 - percent) * (nx.astype(np.int64) + ny)
+    return size & place & ((vx != vy) | (vx == 0))
 
 
 def _pairs_of_cells(percent: int):
-    """Rows come sorted by (shingle, part, n, id). Emits (kind, s, a, b, n).
+    """Rows come sorted by (s, part, n, id). Emits (kind, s, a, b, n, pos, prev).
 
     kind 0: a pair to verify; 1: a member of a large cell; 2: the first member of a part of a wide cell.
     """
+    names = ["s", "part", "id", "n", "pos", "prev"]
+
+    def found(c: dict[str, np.ndarray]) -> pd.DataFrame:
+        """Of whole cells."""
+        s, part, node, n, pos, prev = (c[k] for k in names)
+        new = np.ones(len(s), dtype=bool)
+        new[1:] = (s[1:] != s[:-1]) | (part[1:] != part[:-1])
+        cell = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(s)))
+        low, high = np.minimum.reduceat(prev, start), np.maximum.reduceat(prev, start)
+        dead = (low == high) & (low != 0) & (part[start] < 0)  # all have met before
+        small = size <= SMALL
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        inside = np.flatnonzero((small & ~dead & (size > 1))[cell])
+        for k in range(1, SMALL):
+            x = inside[inside + k < len(s)]
+            x = x[cell[x + k] == cell[x]]
+            if not len(x):
+                break
+            ends.append((x, x + k))
+            inside = x
+        for k in np.flatnonzero(~small & ~dead):  # stars around leaders, a new one where sizes part
+            at, stop = start[k], start[k] + size[k]
+            while at < stop:
+                reach = at + int(np.searchsorted(percent * n[at:stop], 100 * n[at], side="right"))
+                ends.append((np.full(reach - at - 1, at), np.arange(at + 1, reach)))
+                at = reach
+        x, y = (np.concatenate(e) for e in zip(*ends, strict=True)) if ends else (np.zeros(0, np.int64),) * 2
+        keep = near(percent, n[x], n[y], pos[x], pos[y], prev[x], prev[y]) & (node[x] != node[y])
+        a, b = node[x[keep]], node[y[keep]]
+        pairs = pd.DataFrame({"kind": 0, "s": 0, "a": np.minimum(a, b), "b": np.maximum(a, b), "n": 0, "pos": 0, "prev": 0}).drop_duplicates()
+        held = np.flatnonzero(((~small & ~dead) | (part[start] >= 0))[cell])
+        first = start[part[start] >= 0]
+        rows = [
+            pd.DataFrame({"kind": kind, "s": s[at], "a": node[at], "b": 0, "n": n[at], "pos": pos[at], "prev": prev[at]})
+            for kind, at in ((1, held), (2, first))
+        ]
+        return pd.concat([pairs, *rows])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell = None  # (s, part)
-        first: list[tuple[int, int]] = []  # members while the cell is small
-        leader = (0, 0)  # of a large cell
-        large = False
-        out: list[tuple[int, int, int, int, int]] = []
-
-        def fits(n_low: int, n_high: int) -> bool:
-            return percent * n_high <= 100 * n_low
-
-        def end() -> None:
-            if cell is None:
-                return
-            s, part = cell
-            if not large:
-                for k, (x, n) in enumerate(first):
-                    out.extend((0, s, x, y, 0) for y, m in first[k + 1 :] if x != y and fits(n, m))
-            if part >= 0:
-                out.append((2, s, first[0][0], 0, first[0][1]))
-                if not large:  # other parts may be large
-                    out.extend((1, s, x, 0, n) for x, n in first)
-
-        def flush():
-            frame = pd.DataFrame(out, columns=["kind", "s", "a", "b", "n"]).drop_duplicates()
-            swap = (frame["kind"] == 0) & (frame["a"] > frame["b"])
-            frame.loc[swap, ["a", "b"]] = frame.loc[swap, ["b", "a"]].to_numpy()
-            frame.loc[frame["kind"] == 0, "s"] = 0
-            out.clear()
-            return frame.drop_duplicates()
-
+        kept = None  # rows of a cell that may go on
         for b in batches:
-            s, part, ids, ns = (b[c].to_numpy() for c in ("s", "part", "id", "n"))
-            # cells that begin and end inside this batch with one member need no work
-            new = np.ones(len(s) + 1, dtype=bool)
-            new[1:-1] = (s[1:] != s[:-1]) | (part[1:] != part[:-1])
-            alone = new[:-1] & new[1:] & (part < 0)
-            alone[[0, -1]] = False
-            for k in np.flatnonzero(~alone):
-                here = (int(s[k]), int(part[k]))
-                if here != cell:
-                    end()
-                    cell, first, large = here, [], False
-                x, n = int(ids[k]), int(ns[k])
-                if not large:
-                    first.append((x, n))
-                    if len(first) > SMALL:
-                        large = True
-                        leader = first[0]
-                        for y, m in first:
-                            out.append((1, here[0], y, 0, m))
-                            if y != leader[0] and fits(leader[1], m):
-                                out.append((0, here[0], leader[0], y, 0))
-                else:
-                    out.append((1, here[0], x, 0, n))
-                    if not fits(leader[1], n):
-                        leader = (x, n)
-                    elif x != leader[0]:
-                        out.append((0, here[0], leader[0], x, 0))
-            if len(out) > 20_000:
-                yield flush()
-        end()
-        yield flush()
+            c = {k: b[k].to_numpy(dtype=np.int64) for k in names}
+            if kept is not None:
+                c = {k: np.concatenate([kept[k], c[k]]) for k in names}
+            change = np.flatnonzero((c["s"][1:] != c["s"][:-1]) | (c["part"][1:] != c["part"][:-1]))
+            if not len(change):
+                kept = c
+                continue
+            at = int(change[-1]) + 1
+            kept = {k: v[at:] for k, v in c.items()}
+            yield found({k: v[:at] for k, v in c.items()})
+        if kept is not None:
+            yield found(kept)
 
     return scan
 
 
+class Members:
+    """The members of a cell in one task, and the links that join their components.
+
+    ``block``: if given, only pairs of members of different blocks are asked for.
+    """
+
+    def __init__(self, sets, names, percent: int, n, pos, prev, block=None):
+        self.sets, self.percent = sets, percent
+        self.n, self.pos, self.prev = (np.asarray(v, dtype=np.int64) for v in (n, pos, prev))
+        self.block = None if block is None else np.asarray(block)
+        self.parity = np.stack([parity(x) for x in sets])
+        _, self.parent = np.unique(np.asarray(names), return_inverse=True)
+        self.root = np.arange(int(self.parent.max()) + 1)
+        self.links: list[tuple[int, int]] = []
+
+    def component(self, rows: np.ndarray) -> np.ndarray:
+        return self.root[self.parent[rows]]
+
+    def link(self, x: int, y: int) -> None:
+        self.links.append((x, y))
+        a, b = self.root[self.parent[x]], self.root[self.parent[y]]
+        self.root[self.root == max(a, b)] = min(a, b)
+
+    def pairwise(self, rows: np.ndarray, native: np.ndarray) -> None:
+        for k, x in enumerate(rows[:-1]):
+            y = rows[k + 1 :]
+            open_ = (native[k] | native[k + 1 :]) & (self.component(y) != self.root[self.parent[x]])
+            open_ &= near(self.percent, self.n[x], self.n[y], self.pos[x], self.pos[y], self.prev[x], self.prev[y])
+            if self.block is not None:
+                open_ &= self.block[y] != self.block[x]
+            y = y[open_]
+            if not len(y):
+                continue
+            apart = np.bitwise_count(self.parity[y] ^ self.parity[x]).sum(1, dtype=np.int64)
+            for z in y[(100 + self.percent) * apart <= (100 - self.percent) * (self.n[y] + self.n[x])]:
+                if self.root[self.parent[z]] != self.root[self.parent[x]] and linked(self.sets[x], self.sets[z], self.percent):
+                    self.link(int(x), int(z))
+
+    def join(self, rows: np.ndarray | None = None, native: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Voronoi regions of pivots with the window of the triangle inequality, recursively."""
+        if rows is None:
+            rows = np.arange(len(self.sets))
+        if native is None:
+            native = np.ones(len(rows), dtype=bool)
+        components_ = self.component(rows)
+        if (components_ == components_[0]).all():
+            return self.links
+        if len(rows) <= LEAF:
+            self.pairwise(rows, native)
+            return self.links
+        pivots = rows[np.linspace(0, len(rows) - 1, PIVOTS).astype(int)]
+        far = np.array([[distance(self.sets[x], self.sets[p]) for p in pivots] for x in rows])
+        own = far.argmin(1)
+        radius = 1 - self.percent / 100
+        reached = far <= far.min(1, keepdims=True) + 2 * radius + 1e-9
+        if reached.sum() > 2 * len(rows) or reached.sum(0).max() > 0.8 * len(rows):  # the pivots part too little
+            self.pairwise(rows, native)
+            return self.links
+        for p in range(len(pivots)):
+            inside = reached[:, p]
+            if inside.any():
+                self.join(rows[inside], native[inside] & (own[inside] == p))
+        return self.links
+
+
 def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of texts whose sets of 5-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -164,11 +248,13 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
     A set holds the distinct shingles of the whole text (A-Z lower-cased, words split at ASCII white
     space); a text of fewer than five words is one shingle. Null, empty and blank texts have an empty set
     and are linked with nothing. Rows that share an id are one document: what is linked with one of them is
-    linked with all. Rows with a null id keep a null component. Other columns are left out; an empty table gives no rows.
+    linked with all (their empty texts aside). Rows with a null id keep a null component and link nothing. Other
+    columns are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     parts = shuffle_partitions(spark)
+    scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = docs.count()
 
@@ -179,7 +265,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
 
     every = max(1, min(EVERY, total // SAMPLE))
     drawn = texts.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    counted = cut(drawn.select("text").mapInPandas(hashes, "h long").groupBy("h").count().filter("count >= 3"))
+    counted = scratch.keep(drawn.select("text").mapInPandas(hashes, "h long").groupBy("h").count().filter("count >= 3"), "ranks")
     least = 3
     while counted.filter(F.col("count") >= least).count() > RANKED:
         least *= 2
@@ -196,141 +282,115 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
         for b in batches:
             sets = shingle_sets(b["text"])
             rows = []
-            lengths = np.array([len(s) for s in sets])
             freq = rank.of(np.concatenate(sets)) if len(sets) else np.zeros(0, dtype=np.int64)
-            at = np.concatenate([[0], np.cumsum(lengths)])
+            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(int)
             for k, s in enumerate(sets):
                 n = len(s)
                 if not n:
-                    rows.append((0, 0, 0, [], []))
+                    rows.append((0, 0, 0, [], 0, 0))
                     continue
                 f = freq[at[k] : at[k + 1]]
-                w = window_size(n, percent)
-                pick = np.lexsort((mix(s), f))[:w]
-                m = mix(s + _U(77))
-                wide = f[pick] >= wide_from
-                rows.append((n, int(_signed(m.sum(keepdims=True))[0]), int(_signed(np.bitwise_xor.reduce(mix(m + _U(5)), keepdims=True))[0]), _signed(s[pick[~wide]]), _signed(s[pick[wide]])))
-            out = pd.DataFrame(rows, columns=["n", "k1", "k2", "cold", "hot"])
+                pick = np.lexsort((mix(s), f))[: window_size(n, percent)]
+                m, f = mix(s + _U(77)), f[pick]
+                sums = _signed(np.array([m.sum(), np.bitwise_xor.reduce(mix(m + _U(5)))]))
+                rows.append((n, int(sums[0]), int(sums[1]), _signed(s[pick]), int(np.searchsorted(f, 1)), int(np.searchsorted(f, wide_from))))
+            out = pd.DataFrame(rows, columns=["n", "k1", "k2", "s", "ranked", "wide"])
             out.insert(0, "id", b["id"].array)
             yield out
 
-    sets = cut(texts.mapInPandas(described, "id long, n int, k1 long, k2 long, cold array<long>, hot array<long>"))
-    groups = cut(sets.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("many")).repartition(parts, "rep"))
-    slim = sets.select("id", "n", "k1", "k2")
-    copied = groups.filter("many > 1").drop("many")
-    copies = slim.join(copied, ["n", "k1", "k2"]).filter("id <> rep").select("id")
-    reps = groups.select(F.col("rep").alias("id"))
-    # an id with several rows may stand for several sets; it stays if any of them is the first of its group
-    nodes = _among(sets.filter("n > 0 and id is not null"), copies.join(reps, ["id"], "left_anti").distinct(), "left_anti")
-    cold = nodes.select(F.explode("cold").alias("s"), F.lit(-1).alias("part"), "id", "n")
-    hot = nodes.select(F.explode("hot").alias("s"), F.pmod(F.xxhash64("id"), F.lit(split)).cast("int").alias("part"), "id", "n")
-    met = cut(
-        cold.union(hot)
-        .repartition(parts, "s", "part")
+    kind = "id long, n int, k1 long, k2 long, s array<long>, ranked int, wide int"
+    sets = scratch.keep(texts.mapInPandas(described, kind).withColumn("row", F.monotonically_increasing_id()), "sets")
+    slim = scratch.keep(sets.select("row", "id", "n", "k1", "k2"), "slim")
+    filled = slim.filter("n > 0 and id is not null")
+    firsts = filled.groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "row")).alias("f"), F.count("*").alias("many"))
+    nodes = scratch.keep(firsts.select("n", "k1", "k2", F.col("f.id").alias("rep"), F.col("f.row").alias("first"), "many"), "nodes")
+    copies = scratch.keep(filled.join(nodes.filter("many > 1"), ["n", "k1", "k2"]).filter("row <> first").select("row"), "copies")
+    # documents that hold several sets, by rows that share an id, link these
+    several = filled.groupBy("id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("id")
+    shared_ids = filled.join(several, ["id"]).join(nodes, ["n", "k1", "k2"]).select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    shared_ids = scratch.keep(shared_ids, "shared_ids")
+
+    held = _small(sets.filter("n > 0 and id is not null"), copies, "row", "left_anti")
+    place = held.selectExpr("id", "k1", "n", "s as every", "ranked", "wide", "posexplode(s) as (pos, s)").selectExpr(
+        "s", f"int(if(pos >= wide, pmod(xxhash64(id, k1), {split}), -1)) as part", "id", "n", "pos",
+        "if(pos > 0 and pos >= ranked, every[pos - 1], 0L) as prev",  # rare shingles stand in small cells, which need none
+    )
+    met = scratch.keep(
+        place.repartition(parts, "s", "part")
         .sortWithinPartitions("s", "part", "n", "id")
-        .mapInPandas(_pairs_of_cells(percent), "kind int, s long, a long, b long, n int")
+        .mapInPandas(_pairs_of_cells(percent), "kind int, s long, a long, b long, n long, pos long, prev long"),
+        "met",
     )
-    members = met.filter("kind = 1").select("s", F.col("a").alias("id"), "n").distinct()
-    firsts = met.filter("kind = 2").select("s", F.col("a").alias("id"), "n").distinct()
-    lead = firsts.groupBy("s").agg(F.min(F.struct("n", "id")).alias("lead"))
+    del place, held
+    scratch.drop("sets", "ranks", "copies")
+    members = met.filter("kind = 1").select("s", F.col("a").alias("id"), "n", "pos", "prev")
+    leaders = met.filter("kind = 2").select("s", F.col("a").alias("id"), "n")
+    lead = leaders.groupBy("s").agg(F.min(F.struct("n", "id")).alias("lead"))
     across = (
-        firsts.join(lead, ["s"])
+        leaders.join(lead, ["s"])
         .filter(F.col("id") != F.col("lead.id"))
         .filter(F.lit(percent) * F.col("n") <= 100 * F.col("lead.n"))
         .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
     )
-    pairs = cut(met.filter("kind = 0").select("a", "b").union(across).distinct())
-    both_ends = lambda p: p.select(F.col("a").alias("id")).union(p.select("b"))
-    members = cut(members)
-
-    def signed(batches):
-        for b in batches:
-            sets_ = shingle_sets(b["text"])
-            yield pd.DataFrame({"id": b["id"], "size": [len(x) for x in sets_], "parity": [parity(x) for x in sets_]})
+    pairs = scratch.keep(met.filter("kind = 0").select("a", "b").union(across).distinct(), "pairs")
 
     def packed(batches):
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "hashes": [x.tobytes() for x in shingle_sets(b["text"])]})
+            found = shingle_sets(b["text"])
+            yield pd.DataFrame({"id": b["id"], "n": [len(x) for x in found], "hashes": [x.tobytes() for x in found]})
 
-    known = texts.filter("id is not null")
-    involved = both_ends(pairs).union(members.select("id")).distinct()
-    signs = cut(_among(known, involved, "left_semi").mapInPandas(signed, "id long, size int, parity binary").distinct())
-
-    def parted(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c]), dtype=np.uint64).reshape(len(b), BITS // 64) for c in ("pa", "pb"))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            both = b["na"].to_numpy(dtype=np.int64) + b["nb"].to_numpy(dtype=np.int64)
-            yield b.loc[(100 + percent) * apart <= (100 - percent) * both, ["a", "b"]]
+    def whole(ids: DataFrame, name: str) -> DataFrame:
+        """(id, n, hashes): the sets of the documents named."""
+        ids = scratch.keep(ids.distinct(), f"{name}_ids")
+        return scratch.keep(_small(texts.filter("id is not null"), ids, "id", "left_semi").mapInPandas(packed, "id long, n long, hashes binary").distinct(), name)
 
     def measured(batches):
         for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b["x"], b["y"], strict=True)):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    keep.append(i)
-            yield b[["a", "b"]].iloc[keep]
-
-    def window(wanted: DataFrame) -> DataFrame:
-        """The pairs that sizes and parity strings do not part."""
-        for x in "ab":
-            wanted = wanted.join(signs.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("parity").alias(f"p{x}")), [x])
-        return cut(wanted.mapInPandas(parted, "a long, b long").distinct())
-
-    near = window(pairs)
-    needed = both_ends(near).union(members.select("id")).distinct()
-    whole = cut(_among(known, needed, "left_semi").mapInPandas(packed, "id long, hashes binary").distinct())
-
-    def verify(near: DataFrame) -> DataFrame:
-        """The linked ones of the pairs; only sets that they need are moved."""
-        near = cut(near)
-        sets_ = _among(whole, both_ends(near).distinct(), "left_semi")
-        with_a = near.join(sets_.select(F.col("id").alias("a"), F.col("hashes").alias("x")), ["a"])
-        with_b = with_a.join(sets_.select(F.col("id").alias("b"), F.col("hashes").alias("y")), ["b"])
-        return cut(with_b.select("a", "b", "x", "y").mapInPandas(measured, "a long, b long").distinct())
-
-    def linked(named: DataFrame | None, near: DataFrame) -> DataFrame:
-        """Components after the pairs: first one pair for each text, then those that still part components."""
-        first = near.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b")
-        links = verify(first)
-        named = components(links) if named is None else merged(named, links)
-        rest = near
-        for x in "ab":
-            own = named.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
-            rest = rest.join(own, [x], "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-        rest = cut(rest.filter("ca <> cb").select("a", "b").join(first, ["a", "b"], "left_anti"))
-        return named if rest.isEmpty() else merged(named, verify(rest))
-
-    named = linked(None, near)
-    for turn in range(ROUNDS + 1):
-        owned = members.join(named, ["id"], "left").select("s", "id", "n", F.coalesce("component", "id").alias("component"))
-        open_cells = owned.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
-        owned = cut(owned.join(open_cells, ["s"], "left_semi"))
-        if owned.isEmpty():
-            break
-        if turn < ROUNDS:
-            dice = Window.partitionBy("s").orderBy(F.xxhash64("component", F.lit(turn)), F.xxhash64("id", F.lit(turn)), "id")
-            others = (
-                owned.groupBy("s", "component").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n")).alias("p"))
-                .select("s", F.col("p.id").alias("id"), F.col("p.n").alias("n"), "component")
-                .withColumn("k", F.row_number().over(dice)).filter(F.col("k") <= PIVOTS).drop("k")
-            )
-            order = F.lit(True)
-        else:
-            others, order = owned, F.col("id") < F.col("oid")
-        others = others.select("s", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("component").alias("oc"))
-        fits = F.lit(percent) * F.greatest("n", "on") <= 100 * F.least("n", "on")
-        wanted = owned.join(others, ["s"]).filter((F.col("component") != F.col("oc")) & fits & order)
-        wanted = wanted.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct()
-        named = linked(named, window(wanted))
-    named = named.withColumnRenamed("id", "rep")
-    final = cut(groups.join(named, ["rep"], "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component")).repartition(parts, "component"))
-    out = slim.join(final, ["n", "k1", "k2"], "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-    )
+            keep = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(b["x"], b["y"], strict=True)]
+            yield b.loc[keep, ["a", "b"]]
+
+    ends = whole(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "ends")
+    for x, end in (("x", "a"), ("y", "b")):
+        pairs = pairs.join(ends.select(F.col("id").alias(end), F.col("hashes").alias(x)), [end])
+    links = scratch.keep(pairs.select("a", "b", "x", "y").mapInPandas(measured, "a long, b long").union(shared_ids).distinct(), "links")
+    del pairs
+    scratch.drop("ends", "ends_ids", "pairs")
+    named = scratch.keep(components(links), "named")
+
+    owned = members.join(named, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
+    open_cells = owned.groupBy("s").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), (8 * F.sum("n")).alias("bytes")
+    ).filter("lo <> hi")
+    blocks = open_cells.select("s", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    owned = scratch.keep(owned.join(blocks, ["s"]), "open")
+    if not owned.isEmpty():
+
+        def joined(rows: pd.DataFrame) -> pd.DataFrame:
+            sets_ = [np.frombuffer(x, dtype=np.uint64) for x in rows["hashes"]]
+            same = bool((rows["lo"] == rows["hi"]).all())
+            cell = Members(sets_, rows["component"], percent, rows["n"], rows["pos"], rows["prev"], None if same else rows["block"])
+            ids = rows["id"].to_numpy()
+            return pd.DataFrame([(ids[x], ids[y]) for x, y in cell.join()], columns=["a", "b"], dtype=np.int64)
+
+        block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        dealt = owned.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        inner = whole(owned.select("id"), "inner")
+        more = dealt.join(inner, ["id", "n"]).groupBy("s", "lo", "hi").applyInPandas(joined, "a long, b long").distinct()
+        links = scratch.keep(links.union(more), "all_links")
+        named = scratch.keep(components(links), "all_named")
+        scratch.drop("inner", "inner_ids", "links", "named")
+    scratch.drop("met", "open", "shared_ids")
+    # sets of one document that is linked with none need no table
+    named = nodes.join(named.withColumnRenamed("id", "rep"), ["rep"], "left").filter("many > 1 or component is not null")
+    named = scratch.keep(named.select("n", "k1", "k2", F.coalesce("component", "rep").alias("component")), "classes")
+    out = _small(filled, named, ["n", "k1", "k2"], "left").withColumn("component", F.coalesce("component", "id"))
+    out = out.select("id", "n", "component").unionByName(
+        slim.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
+    )
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _small(rows: DataFrame, other: DataFrame, on, how: str) -> DataFrame:
+    """A join with a table that is broadcast if it is known to be small."""
+    return rows.join(F.broadcast(other) if other.count() <= FEW_IDS else other, on, how)
