@@ -42,10 +42,12 @@ SMALL = 24
 LEAF, PIVOTS = 96, 6
 #: Members and bytes of a block of a cell that is too large for one task.
 BLOCK, BLOCK_BYTES = 2048, 1 << 25
+#: Pairs of one text that a task verifies.
+SPLIT = 512
 #: Length of the parity strings.
 BITS = 1024
-#: Ids that a join may broadcast; more are joined by shuffle.
-FEW_IDS = 1_000_000
+#: Rows of ids that a join may broadcast; more are joined by shuffle.
+FEW_IDS = 250_000
 #: A cell that is expected to have more members than this is split.
 WIDE = 1000
 _U = np.uint64
@@ -92,6 +94,8 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x) or not len(y):
+        return False
     both = shared(x, y)
     return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -176,6 +180,26 @@ def _pairs_of_cells(percent: int):
     return scan
 
 
+def _measured(percent: int):
+    """Rows come sorted by (to, salt, role): the texts of ``to``, of role 0, and those to compare with them."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, []
+        for b in batches:
+            out = []
+            for to, salt, role, id_, x in zip(b["to"], b["salt"], b["role"], b["id"], shingle_sets(b["text"]), strict=True):
+                if (to, salt) != at:
+                    at, own = (to, salt), []
+                if role == 0:
+                    if not any(np.array_equal(x, y) for y in own):  # rows may repeat an id
+                        own.append(x)
+                elif any(linked(x, y, percent) for y in own):
+                    out.append((to, id_))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return scan
+
+
 class Members:
     """The members of a cell in one task, and the links that join their components.
 
@@ -334,28 +358,29 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
     )
     pairs = scratch.keep(met.filter("kind = 0").select("a", "b").union(across).distinct(), "pairs")
 
-    def packed(batches):
-        for b in batches:
-            found = shingle_sets(b["text"])
-            yield pd.DataFrame({"id": b["id"], "n": [len(x) for x in found], "hashes": [x.tobytes() for x in found]})
-
-    def whole(ids: DataFrame, name: str) -> DataFrame:
-        """(id, n, hashes): the sets of the documents named."""
-        ids = scratch.keep(ids.distinct(), f"{name}_ids")
-        return scratch.keep(_small(texts.filter("id is not null"), ids, "id", "left_semi").mapInPandas(packed, "id long, n long, hashes binary").distinct(), name)
-
-    def measured(batches):
-        for b in batches:
-            keep = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(b["x"], b["y"], strict=True)]
-            yield b.loc[keep, ["a", "b"]]
-
-    ends = whole(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "ends")
-    for x, end in (("x", "a"), ("y", "b")):
-        pairs = pairs.join(ends.select(F.col("id").alias(end), F.col("hashes").alias(x)), [end])
-    links = scratch.keep(pairs.select("a", "b", "x", "y").mapInPandas(measured, "a long, b long").union(shared_ids).distinct(), "links")
-    del pairs
-    scratch.drop("ends", "ends_ids", "pairs")
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        """The linked ones of the pairs. Texts go to the first ones of their pairs, of which one with many is split."""
+        many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).alias("many"))
+        dealt = pairs.join(many, ["a"]).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("many")).cast("int"))
+        roles = dealt.select(F.col("b").alias("id"), F.col("a").alias("to"), "salt", F.lit(1).alias("role"))
+        roles = roles.union(dealt.select(F.col("a").alias("id"), F.col("a").alias("to"), "salt", F.lit(0).alias("role")).distinct())
+        roles = scratch.keep(roles, f"{name}_roles")
+        sent = _small(texts.filter("id is not null"), roles, "id", "inner").repartition(parts, "to", "salt").sortWithinPartitions("to", "salt", "role", "id")
+        found = scratch.keep(sent.select("to", "salt", "role", "id", "text").mapInPandas(_measured(percent), "a long, b long"), name)
+        scratch.drop(f"{name}_roles")
+        return found
+
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = verify(first, "links").union(shared_ids)
     named = scratch.keep(components(links), "named")
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    for x in "ab":
+        own = named.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+        rest = rest.join(own, [x], "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    rest = scratch.keep(rest.filter("ca <> cb").select("a", "b"), "rest")
+    if not rest.isEmpty():
+        links = links.union(verify(rest, "more_links"))
+        named = scratch.keep(components(links), "more_named")
 
     owned = members.join(named, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     open_cells = owned.groupBy("s").agg(
@@ -366,7 +391,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
     if not owned.isEmpty():
 
         def joined(rows: pd.DataFrame) -> pd.DataFrame:
-            sets_ = [np.frombuffer(x, dtype=np.uint64) for x in rows["hashes"]]
+            sets_ = shingle_sets(rows["text"])
+            keep = [k for k, (x, n) in enumerate(zip(sets_, rows["n"], strict=True)) if len(x) == n]  # an id may have texts elsewhere
+            if len(keep) < 2:
+                return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+            rows, sets_ = rows.iloc[keep], [sets_[k] for k in keep]
             same = bool((rows["lo"] == rows["hi"]).all())
             cell = Members(sets_, rows["component"], percent, rows["n"], rows["pos"], rows["prev"], None if same else rows["block"])
             ids = rows["id"].to_numpy()
@@ -375,12 +404,13 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         dealt = owned.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-        inner = whole(owned.select("id"), "inner")
-        more = dealt.join(inner, ["id", "n"]).groupBy("s", "lo", "hi").applyInPandas(joined, "a long, b long").distinct()
-        links = scratch.keep(links.union(more), "all_links")
-        named = scratch.keep(components(links), "all_named")
-        scratch.drop("inner", "inner_ids", "links", "named")
-    scratch.drop("met", "open", "shared_ids")
+        dealt = scratch.keep(dealt.select("s", "lo", "hi", "block", "id", "n", "pos", "prev", "component"), "dealt")
+        sent = _small(texts.filter("id is not null"), dealt, "id", "inner")
+        more = sent.groupBy("s", "lo", "hi").applyInPandas(joined, "a long, b long").distinct()
+        links = links.union(scratch.keep(more, "last_links"))
+        named = scratch.keep(components(links), "last_named")
+        scratch.drop("dealt")
+    scratch.drop("met", "open")
     # sets of one document that is linked with none need no table
     named = nodes.join(named.withColumnRenamed("id", "rep"), ["rep"], "left").filter("many > 1 or component is not null")
     named = scratch.keep(named.select("n", "k1", "k2", F.coalesce("component", "rep").alias("component")), "classes")
