@@ -81,3 +81,10 @@ def crc_of_id(col):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def sliced(batches, rows: int = 256):
+    """The batches in slices of few rows, so that what is made of the texts stays small."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.iloc[k : k + rows]

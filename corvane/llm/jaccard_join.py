@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, prepare, shuffle_partitions
+from corvane.llm.common import Scratch, prepare, shuffle_partitions, sliced
 from corvane.llm.components import components
 from corvane.llm.shingles import mix, shingle_sets
 
@@ -185,7 +185,7 @@ def _measured(percent: int):
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, own = None, []
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for to, salt, role, id_, x in zip(b["to"], b["salt"], b["role"], b["id"], shingle_sets(b["text"]), strict=True):
                 if (to, salt) != at:
@@ -283,7 +283,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
     total = docs.count()
 
     def hashes(batches):
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(b["text"])
             yield pd.DataFrame({"h": _signed(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.int64)})
 
@@ -303,7 +303,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
 
     def described(batches):
         rank = ranks.value
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(b["text"])
             rows = []
             freq = rank.of(np.concatenate(sets)) if len(sets) else np.zeros(0, dtype=np.int64)
