@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,11 +34,11 @@ SIDE, HIDDEN = 2, 24
 FREQUENT, TAIL = 95, 32
 CLASSES = FREQUENT + TAIL + 1
 EDGE = CLASSES - 1
-ROUNDS, MINIBATCH, RATE = 2, 512, 1.0
+ROUNDS, MINIBATCH, RATE = 2, 1024, 2.0
 #: Words whose counts go along with the model; those of rarer words are joined by shuffle.
 HELD = 100_000
 #: Words that a task counts before it hands its counts on; tokens scored at once; documents whose tokens are mixed in training.
-COUNTED, STRIP, DRAWN = 200_000, 16_384, 1_000
+COUNTED, STRIP, DRAWN = 200_000, 2_048, 1_000
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -113,36 +114,38 @@ class Network:
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean negative log-probability."""
         h = self.hidden(context)
-        z = h @ self.out + self.bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
+        p = h @ self.out
+        p += self.bias
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(p)), target] -= 1
-        p *= rate / len(p)
-        back = (p @ self.out.T) * (1 - h * h)
+        p *= np.float32(rate / len(p))
+        back = p @ self.out.T
+        back *= 1 - h * h
         self.out -= h.T @ p
         self.bias -= p.sum(0)
-        for k in range(2 * SIDE):
-            hot = np.zeros((len(target), CLASSES), dtype=np.float32)
-            hot[np.arange(len(target)), context[:, k]] = 1
-            self.inputs[k] -= hot.T @ back
-
-
-def windows(classes: np.ndarray) -> np.ndarray:
-    """(tokens, 2 * SIDE) classes at the sides of every token of one document."""
-    padded = np.concatenate([np.full(SIDE, EDGE), classes, np.full(SIDE, EDGE)])
-    n = len(classes)
-    return np.stack([padded[k : k + n] for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))], axis=1)
+        for k in range(2 * SIDE):  # the rows of a class add up
+            order = np.argsort(context[:, k], kind="stable")
+            own = context[order, k]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            self.inputs[k][own[first]] -= np.add.reduceat(back[order], first, axis=0)
 
 
 def _batch(texts: Iterable[list[str]], known: Classes):
-    """Classes and contexts of the tokens of many documents, and the number of tokens of each."""
-    each = [np.array([known[w] for w in ws], dtype=np.int64) for ws in texts]
-    sizes = np.array([len(c) for c in each], dtype=np.int64)
-    filled = [c for c in each if len(c)]
-    if not filled:
-        return np.zeros(0, np.int64), np.zeros((0, 2 * SIDE), np.int64), sizes
-    return np.concatenate(filled), np.concatenate([windows(c) for c in filled]), sizes
+    """Classes of the tokens of many documents, those at their sides, and the number of tokens of each."""
+    texts = list(texts)
+    sizes = np.array([len(ws) for ws in texts], dtype=np.int64)
+    total = int(sizes.sum())
+    target = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), dtype=np.uint8, count=total)
+    # the documents lie one after another with edges between them
+    place = np.arange(total) + SIDE * (1 + np.repeat(np.arange(len(texts)), sizes))
+    padded = np.full(total + SIDE * (len(texts) + 1), EDGE, dtype=np.uint8)
+    padded[place] = target
+    context = np.empty((total, 2 * SIDE), dtype=np.uint8)
+    for k, shift in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
+        context[:, k] = padded[place + shift]
+    return target, context, sizes
 
 
 class Inside(dict):
