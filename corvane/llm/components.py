@@ -59,14 +59,3 @@ def renamed(named: DataFrame, roots: DataFrame) -> DataFrame:
     """``named`` with its components replaced by those that ``roots`` gives them."""
     over = roots.select(F.col("id").alias("component"), F.col("component").alias("root"))
     return cut(named.join(over, ["component"], "left").select("id", F.coalesce("root", "component").alias("component")))
-
-
-def merged(named: DataFrame, links: DataFrame) -> DataFrame:
-    """``named`` after more links; ends that had no component so far get one."""
-    ends = links
-    for x in "ab":
-        own = named.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
-        ends = ends.join(own, [x], "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-    roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    new = roots.join(named.select("id"), ["id"], "left_anti")
-    return cut(renamed(named, roots).unionByName(new))

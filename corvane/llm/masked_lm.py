@@ -15,7 +15,7 @@ round, and the tasks' weights are averaged after it.
 from __future__ import annotations
 
 import math
-import re
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -34,16 +34,25 @@ SIDE, HIDDEN = 2, 24
 FREQUENT, TAIL = 95, 32
 CLASSES = FREQUENT + TAIL + 1
 EDGE = CLASSES - 1
+#: Places of the neighbours, as seen from a token.
+PLACES = (*range(-SIDE, 0), *range(1, SIDE + 1))
 ROUNDS, MINIBATCH, RATE = 2, 1024, 2.0
 #: Words whose counts go along with the model; those of rarer words are joined by shuffle.
-HELD = 100_000
+HELD = 300_000
 #: Words that a task counts before it hands its counts on; tokens scored at once; documents whose tokens are mixed in training.
-COUNTED, STRIP, DRAWN = 200_000, 2_048, 1_000
-_WORD = re.compile(r"\w+|[^\w\s]")
+COUNTED, STRIP, DRAWN = 500_000, 512, 100
+#: Characters that are tokens of their own; other tokens are what white space and these leave.
+MARKS = string.punctuation.replace("_", "")
 
 
 def tokens(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    for mark in MARKS:
+        if mark in text:
+            text = text.replace(mark, f" {mark} ")
+    return text.split()
 
 
 def tail_class(word: str) -> int:
@@ -55,13 +64,13 @@ class Classes(dict):
     """Word to class; ``frequent`` lists the words with a class of their own."""
 
     def __init__(self, frequent: list[str]):
-        super().__init__({w: k for k, w in enumerate(frequent)})
+        super().__init__({"": EDGE} | {w: k for k, w in enumerate(frequent)})
         self.frequent = frequent
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-            self.update({w: k for k, w in enumerate(self.frequent)})
+            self.update({"": EDGE} | {w: k for k, w in enumerate(self.frequent)})
             if word in self:
                 return self[word]
         k = self[word] = tail_class(word)
@@ -93,59 +102,64 @@ class Network:
         flat = flat.astype(np.float32)
         return Network(flat[:a].reshape(2 * SIDE, CLASSES, HIDDEN), flat[a : a + b].reshape(HIDDEN, CLASSES), flat[a + b :])
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.inputs[0][context[:, 0]]
+    def hidden(self, classes: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+        """Hidden layer for the places ``at`` of a padded sequence of classes, with a last column of ones for the bias."""
+        sides = (
+            [classes[at.start + d : at.stop + d] for d in PLACES] if isinstance(at, slice) else [classes[at + d] for d in PLACES]
+        )
+        h = np.ones((len(sides[0]), HIDDEN + 1), dtype=np.float32)
+        v = self.inputs[0].take(sides[0], axis=0, mode="clip")
         for p in range(1, 2 * SIDE):
-            h = h + self.inputs[p][context[:, p]]
-        return np.tanh(h)
-
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of each target class, given the classes at its sides."""
-        out = np.empty(len(target), dtype=np.float64)
-        for s in range(0, len(target), STRIP):
-            z = self.hidden(context[s : s + STRIP]) @ self.out
-            z += self.bias
+            v += self.inputs[p].take(sides[p], axis=0, mode="clip")
+        np.tanh(v, out=h[:, :HIDDEN])
+        return h
+
+    def exponentials(self, h: np.ndarray, target: np.ndarray | None = None):
+        """Of the logits, up to a factor for each row; and the logarithms of those of ``target``."""
+        weights = np.vstack([self.out, self.bias]).astype(np.float32)
+        z = h @ weights
+        if np.abs(weights).sum(0).max() > 60:  # else no logit can overflow or vanish
             z -= z.max(1, keepdims=True)
-            own = z[np.arange(len(z)), target[s : s + STRIP]]
-            np.exp(z, out=z)
-            out[s : s + STRIP] = own - np.log(z.sum(1))
+        own = None if target is None else z[np.arange(len(z)), target]
+        return np.exp(z, out=z), own
+
+    def log_probabilities(self, classes: np.ndarray) -> np.ndarray:
+        """Of every class of a padded sequence, given those at its sides; the first and last ``SIDE`` places are left out."""
+        n = len(classes) - 2 * SIDE
+        out = np.empty(n, dtype=np.float64)
+        for s in range(0, n, STRIP):
+            e = min(n, s + STRIP)
+            z, own = self.exponentials(self.hidden(classes, slice(SIDE + s, SIDE + e)), classes[SIDE + s : SIDE + e])
+            out[s:e] = own - np.log(z.sum(1))
         return out
 
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of gradient descent on the mean negative log-probability."""
-        h = self.hidden(context)
-        p = h @ self.out
-        p += self.bias
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
-        p *= np.float32(rate / len(p))
+    def step(self, classes: np.ndarray, at: np.ndarray, rate: float) -> None:
+        """One step of gradient descent on the mean negative log-probability of the places ``at``."""
+        h, target = self.hidden(classes, at), classes[at]
+        p, _ = self.exponentials(h)
+        p *= (np.float32(rate / len(p)) / p.sum(1))[:, None]
+        p[np.arange(len(p)), target] -= np.float32(rate / len(p))
         back = p @ self.out.T
-        back *= 1 - h * h
-        self.out -= h.T @ p
-        self.bias -= p.sum(0)
-        for k in range(2 * SIDE):  # the rows of a class add up
-            order = np.argsort(context[:, k], kind="stable")
-            own = context[order, k]
+        v = h[:, :HIDDEN]
+        back *= 1 - v * v
+        change = h.T @ p
+        self.out -= change[:HIDDEN]
+        self.bias -= change[HIDDEN]
+        for k, d in enumerate(PLACES):  # the rows of a class add up
+            side = classes[at + d]
+            order = side.argsort(kind="stable")
+            own = side[order]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             self.inputs[k][own[first]] -= np.add.reduceat(back[order], first, axis=0)
 
 
-def _batch(texts: Iterable[list[str]], known: Classes):
-    """Classes of the tokens of many documents, those at their sides, and the number of tokens of each."""
+def padded(texts: Iterable[list[str]], known: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the tokens of many documents, one after another with ``SIDE`` edges around each; tokens of each."""
     texts = list(texts)
+    edges = [""] * SIDE
+    flat = chain.from_iterable(chain((edges,), *((ws, edges) for ws in texts)))
     sizes = np.array([len(ws) for ws in texts], dtype=np.int64)
-    total = int(sizes.sum())
-    target = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), dtype=np.uint8, count=total)
-    # the documents lie one after another with edges between them
-    place = np.arange(total) + SIDE * (1 + np.repeat(np.arange(len(texts)), sizes))
-    padded = np.full(total + SIDE * (len(texts) + 1), EDGE, dtype=np.uint8)
-    padded[place] = target
-    context = np.empty((total, 2 * SIDE), dtype=np.uint8)
-    for k, shift in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
-        context[:, k] = padded[place + shift]
-    return target, context, sizes
+    return np.fromiter(map(known.__getitem__, flat), dtype=np.uint8, count=int(sizes.sum()) + SIDE * (len(texts) + 1)), sizes
 
 
 class Inside(dict):
@@ -166,13 +180,18 @@ class LanguageModel:
     def score(self, texts, known: Classes) -> tuple[np.ndarray, np.ndarray, list[Counter]]:
         """Tokens of each text, its summed conditional log-probability without the counts of words not held, and these words."""
         each = [tokens(t) for t in texts]
-        target, context, sizes = _batch(each, known)
-        counted = np.array([self.inside[w] for ws in each for w in ws], dtype=np.float64)
-        rare = np.isnan(counted)
-        counted[rare] = 0.0
-        sums = np.concatenate([[0.0], np.cumsum(self.network.log_probabilities(context, target) + counted - self.mass[target])])
+        classes, sizes = padded(each, known)
+        inside = np.fromiter(map(self.inside.__getitem__, chain.from_iterable(each)), dtype=np.float64, count=int(sizes.sum()))
+        rare = np.isnan(inside)
+        inside[rare] = 0.0
+        real = classes[SIDE : len(classes) - SIDE] != EDGE
+        told = self.network.log_probabilities(classes)[real] + inside - self.mass[classes[SIDE : len(classes) - SIDE][real]]
+        sums = np.concatenate([[0.0], np.cumsum(told)])
         at = np.concatenate([[0], np.cumsum(sizes)])
-        words = [Counter([ws[k] for k in np.flatnonzero(rare[s : s + len(ws)])]) for ws, s in zip(each, at, strict=False)]
+        words: list[Counter] = [Counter() for _ in each]
+        owner = np.searchsorted(at, np.flatnonzero(rare), side="right") - 1
+        for k, doc in zip(np.flatnonzero(rare).tolist(), owner.tolist(), strict=True):
+            words[doc][each[doc][k - at[doc]]] += 1
         return sizes, sums[at[1:]] - sums[at[:-1]], words
 
 
@@ -198,7 +217,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     words = cut(word_counts(texts))
-    held = words.orderBy(F.col("n").desc(), "word").limit(FREQUENT + HELD).collect()
+    steps = sorted(words.groupBy(F.floor(F.log2("n") * 16).alias("step")).count().collect(), reverse=True)
+    among = np.cumsum([r["count"] for r in steps])  # words of that count step or a higher one
+    many = int((among <= FREQUENT + HELD).sum())
+    least = steps[many - 1]["step"] if many and (many == len(steps) or among[many - 1] >= FREQUENT) else None
+    kept = words.filter(F.floor(F.log2("n") * 16) >= least) if least is not None else words.orderBy(F.col("n").desc(), "word").limit(FREQUENT)
+    kept = kept.collect()
+    held = sorted(kept, key=lambda r: (-r["n"], r["word"]))
     top = held[:FREQUENT]
     frequent = [r["word"] for r in top]
     inside = Inside({w: 0.0 for w in frequent} | {r["word"]: math.log(r["n"] + 1) for r in held[FREQUENT:]})
@@ -230,12 +255,12 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             net, known, seen = Network.of(flat.copy()), Classes(words_), 0
             for b in batches:
                 for k in range(0, len(b), DRAWN):
-                    target, context, _ = _batch(map(tokens, b["text"].iloc[k : k + DRAWN]), known)
-                    mixed = np.random.default_rng(len(target)).permutation(len(target))
-                    for s in range(0, len(target), MINIBATCH):
-                        pick = mixed[s : s + MINIBATCH]
-                        net.step(context[pick], target[pick], rate * min(1.0, len(pick) / MINIBATCH))
-                    seen += len(target)
+                    classes, _ = padded(map(tokens, b["text"].iloc[k : k + DRAWN]), known)
+                    places = np.flatnonzero(classes != EDGE)
+                    mixed = np.random.default_rng(len(places)).permutation(places)
+                    for s in range(0, len(mixed), MINIBATCH):
+                        net.step(classes, mixed[s : s + MINIBATCH], rate * min(1.0, (len(mixed) - s) / MINIBATCH))
+                    seen += len(mixed)
             if seen:
                 part = TaskContext.get().partitionId()
                 yield pd.DataFrame({"part": [part], "seen": [seen], "flat": [(net.flat().astype(np.float64) * seen).tobytes()]})
@@ -256,7 +281,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             flats = sorted((r["seen"], bytes(r["flat"])) for r in sums)
             network = Network.of(sum(np.frombuffer(f, dtype=np.float64) for _, f in flats) / total)
     mass = np.where(np.arange(CLASSES) < FREQUENT, 1.0, counts - 1 + types)
-    rest = words.filter(F.col("n") <= held[-1]["n"]) if len(held) == FREQUENT + HELD else words.limit(0)
+    rest = words if least is None else words.filter(F.floor(F.log2("n") * 16) < least)
     return LanguageModel(frequent, inside, np.log(mass), network), rest
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -22,8 +23,6 @@ from corvane.llm.url_filter import url_filter
 
 
 def shingle_set(text):
-    import re
-
     low = (text or "").translate({c: c + 32 for c in range(65, 91)})
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
     if not w:
@@ -75,19 +74,45 @@ def test_jaccard_matches_brute_force(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
-def test_jaccard_in_wide_cells(spark, monkeypatch):
+@pytest.mark.parametrize("seed", [2, 3])
+def test_jaccard_in_wide_cells(spark, monkeypatch, seed):
     from corvane.llm import jaccard_join as J
 
-    monkeypatch.setattr(J, "SMALL", 2)
-    monkeypatch.setattr(J, "WIDE", 10)
-    monkeypatch.setattr(J, "PIVOTS", 1)
-    monkeypatch.setattr(J, "ROUNDS", 1)
-    monkeypatch.setattr(J, "FEW_IDS", 0)
-    rows = near_copies(2, groups=3)
+    for name, value in {"SMALL": 2, "WIDE": 10, "FEW_IDS": 0, "BLOCK": 7, "SPLIT": 3}.items():
+        monkeypatch.setattr(J, name, value)
+    rows = near_copies(seed, groups=3)
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+@pytest.mark.parametrize("leaf", [2, 8, 500])
+def test_regions_lose_no_link(monkeypatch, leaf):
+    from corvane.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "LEAF", leaf)
+    rows = near_copies(4, groups=8, copies=25) + near_copies(5, groups=2)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    sets = shingles.shingle_sets([t for _, t in rows])
+    zero = np.zeros(len(rows))
+    cell = J.Members(sets, np.arange(len(rows)), 80, [len(x) for x in sets], zero, zero)
+    up = list(range(len(rows)))
+    for x, y in cell.join():
+        assert J.linked(sets[x], sets[y], 80) and up[x] != up[y]  # each joins two components
+        low, high = sorted((up[x], up[y]))
+        up = [low if c == high else c for c in up]
+    assert up == [brute_components(rows)[k][1] for k in range(len(rows))]
+
+
+def test_jaccard_of_repeated_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    a, b = " ".join(base), " ".join(["u", *base[1:]])
+    c = " ".join(f"v{k}" for k in range(40))
+    rows = [(1, a), (2, b), (2, c), (3, c), (9, c), (9, c), (4, ""), (None, a), (5, None), (6, "q r")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r[0] for r in got] == [0, 1, 2, 2, 3, 4, 5, 6, 9, 9]
+    assert [r[2] for r in got] == [None, 1, 1, 1, 1, 4, 5, 6, 1, 1]
+
+
 @given(st.lists(st.text(alphabet="abAB \n\té", max_size=60), max_size=6))
 @settings(max_examples=60, deadline=None)
 def test_shingle_counts(texts):
@@ -99,7 +124,7 @@ def test_parity_never_exceeds_the_difference():
     for n in (5, 80, 900):
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[n // 4 :], rng.integers(0, 2**63, n // 5, dtype=np.uint64)]))
-        x, y = (np.frombuffer(parity(s), dtype=np.uint8) for s in (a, b))
+        x, y = (parity(s) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
@@ -108,9 +133,6 @@ def test_components_by_contraction(spark, monkeypatch):
     links = [(k, k + 1) for k in range(30) if k % 10] + [(100, 50), (50, 7), (200, 201)]
     got = {r["id"]: r["component"] for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got[100] == got[50] == got[7] == 1 and got[201] == 200 and got[25] == 21
-    more = C.merged(spark.createDataFrame(list(got.items()), "id long, component long"), spark.createDataFrame([(1, 21), (300, 301)], "a long, b long"))
-    found = {r["id"]: r["component"] for r in more.collect()}
-    assert found[25] == 1 and found[301] == 300 and found[201] == 200
 
 
 def test_shards(spark):
@@ -296,15 +318,37 @@ def test_toxicity_learns(spark):
 def test_language_model_gradient():
     rng = np.random.default_rng(1)
     net = masked_lm.Network.fresh(np.zeros(masked_lm.CLASSES))
-    context, target = rng.integers(0, masked_lm.CLASSES, (64, 4)), rng.integers(0, masked_lm.CLASSES, 64)
-    loss = lambda n: -n.log_probabilities(context, target).mean()
+    side = [masked_lm.EDGE] * masked_lm.SIDE
+    classes = np.array([*side, *rng.integers(0, masked_lm.EDGE, 64), *side], dtype=np.uint8)
+    loss = lambda n: -n.log_probabilities(classes).mean()
     before, flat = loss(net), net.flat().astype(np.float64)
     moved = masked_lm.Network.of(flat.copy())
-    moved.step(context, target, 1e-2)
+    moved.step(classes, np.arange(masked_lm.SIDE, 64 + masked_lm.SIDE), 1e-2)
     step = moved.flat().astype(np.float64) - flat
     assert before - loss(moved) == pytest.approx((step**2).sum() / 1e-2, rel=0.05)  # the step is the gradient's
 
 
+def test_language_model_scores_as_a_plain_one(spark):
+    rows = [(k, f"the cat number {k} sat, on the mat! {'x' * (k % 7)}ing dog") for k in range(40)] + [(40, ""), (41, None), (42, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, rest = masked_lm.train(docs)
+    assert rest.isEmpty()
+    net, known, counts = model.network, masked_lm.Classes(model.frequent), Counter(w for _, t in rows for w in re.findall(r"\w+|[^\w\s]", t or ""))
+    inside = Counter()
+    for w, n in counts.items():
+        inside[masked_lm.tail_class(w)] += (n + 1) * (w not in model.frequent)
+    for r in masked_lm.score_documents(docs, model=(model, rest)).collect():
+        words = re.findall(r"\w+|[^\w\s]", dict(rows)[r["doc_id"]] or "")
+        total = 0.0
+        for k, w in enumerate(words):
+            h = sum(net.inputs[p][known[words[k + d]] if 0 <= k + d < len(words) else masked_lm.EDGE] for p, d in enumerate((-2, -1, 1, 2)))
+            z = np.tanh(h) @ net.out + net.bias
+            total += z[known[w]] - np.log(np.exp(z).sum())
+            if w not in model.frequent:
+                total += math.log((counts[w] + 1) / (inside[known[w]] + 1))
+        assert r["n_tokens"] == len(words) and r["log_likelihood"] == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
 def test_language_model_prefers_order(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(["the", "cat", "sat", "on", "a", "mat"] * 20)) for k in range(300)]
@@ -383,8 +427,6 @@ def test_leaks_beyond_the_plan_are_joined(spark, sf_dir, monkeypatch):
 
 
 def test_leaks_match_plain_containment(spark, sf_dir):
-    import re
-
     words = lambda t: re.findall(r"\w+", t.lower())
     grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
     items = {r["item_id"]: grams(words(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
