@@ -27,13 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, prepare, shuffle_partitions
+from corvane.llm.common import cut, prepare, shuffle_partitions, sliced
 
 SIDE, HIDDEN = 2, 24
 #: Classes of frequent words, of other words, and one for the place beyond a document's ends.
 FREQUENT, TAIL = 95, 32
 CLASSES = FREQUENT + TAIL + 1
 EDGE = CLASSES - 1
+ONES = np.ones(CLASSES, dtype=np.float32)
 #: Places of the neighbours, as seen from a token.
 PLACES = (*range(-SIDE, 0), *range(1, SIDE + 1))
 ROUNDS, MINIBATCH, RATE = 2, 1024, 2.0
@@ -130,14 +131,14 @@ class Network:
         for s in range(0, n, STRIP):
             e = min(n, s + STRIP)
             z, own = self.exponentials(self.hidden(classes, slice(SIDE + s, SIDE + e)), classes[SIDE + s : SIDE + e])
-            out[s:e] = own - np.log(z.sum(1))
+            out[s:e] = own - np.log(z @ ONES)
         return out
 
     def step(self, classes: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean negative log-probability of the places ``at``."""
         h, target = self.hidden(classes, at), classes[at]
         p, _ = self.exponentials(h)
-        p *= (np.float32(rate / len(p)) / p.sum(1))[:, None]
+        p *= (np.float32(rate / len(p)) / (p @ ONES))[:, None]
         p[np.arange(len(p)), target] -= np.float32(rate / len(p))
         back = p @ self.out.T
         v = h[:, :HIDDEN]
@@ -177,22 +178,19 @@ class LanguageModel:
     mass: np.ndarray
     network: Network
 
-    def score(self, texts, known: Classes) -> tuple[np.ndarray, np.ndarray, list[Counter]]:
-        """Tokens of each text, its summed conditional log-probability without the counts of words not held, and these words."""
+    def score(self, texts, known: Classes) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Of each text its tokens and summed conditional log-probability, without the counts of words not held; these words, and the texts they stand in."""
         each = [tokens(t) for t in texts]
         classes, sizes = padded(each, known)
-        inside = np.fromiter(map(self.inside.__getitem__, chain.from_iterable(each)), dtype=np.float64, count=int(sizes.sum()))
-        rare = np.isnan(inside)
+        flat = list(chain.from_iterable(each))
+        inside = np.fromiter(map(self.inside.__getitem__, flat), dtype=np.float64, count=len(flat))
+        rare = np.flatnonzero(np.isnan(inside))
         inside[rare] = 0.0
         real = classes[SIDE : len(classes) - SIDE] != EDGE
         told = self.network.log_probabilities(classes)[real] + inside - self.mass[classes[SIDE : len(classes) - SIDE][real]]
         sums = np.concatenate([[0.0], np.cumsum(told)])
         at = np.concatenate([[0], np.cumsum(sizes)])
-        words: list[Counter] = [Counter() for _ in each]
-        owner = np.searchsorted(at, np.flatnonzero(rare), side="right") - 1
-        for k, doc in zip(np.flatnonzero(rare).tolist(), owner.tolist(), strict=True):
-            words[doc][each[doc][k - at[doc]]] += 1
-        return sizes, sums[at[1:]] - sums[at[:-1]], words
+        return sizes, sums[at[1:]] - sums[at[:-1]], [flat[k] for k in rare.tolist()], np.searchsorted(at, rare, side="right") - 1
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -304,20 +302,19 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         own = shared.value
         known = Classes(own.frequent)
         for b in batches:
-            for s in range(0, len(b), 64):
-                part = b.iloc[s : s + 64]
-                n, total, rare = own.score(part["text"], known)
-                # a text of held words only looks up a word of its own that is no token
-                words = [list(c) or [f"\0{row}"] for c, row in zip(rare, part["row"], strict=True)]
-                times = [list(c.values()) or [0] for c in rare]
-                yield pd.DataFrame({"row": part["row"].array, "id": part["id"].array, "n": n, "total": total, "words": words, "times": times})
+            parts = []
+            for part in sliced([b], 64):
+                n, total, words, owner = own.score(part["text"], known)
+                # every text has a row of its own, with a word that is no token; its sum stands there
+                frame = pd.DataFrame({"row": part["row"].array, "id": part["id"].array, "n": n, "total": total, "word": [f"\0{row}" for row in part["row"]], "times": 0})
+                seen = pd.DataFrame({"row": frame["row"].to_numpy()[owner], "id": frame["id"].array[owner], "n": 0, "total": 0.0, "word": words, "times": 1})
+                parts += [frame, seen]
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["row", "id", "n", "total", "word", "times"])
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = source.mapInPandas(scored, f"row long, id {kind}, n long, total double, words array<string>, times array<int>")
-    each = rows.select("row", "id", F.col("n").alias("n_tokens"), "total", F.explode(F.arrays_zip("words", "times")).alias("x"))
-    each = each.select("row", "id", "n_tokens", "total", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    sums = each.join(counts, ["word"], "left").groupBy("row").agg(
-        F.first("id").alias(id_col), F.first("n_tokens").alias("n_tokens"),
-        (F.first("total") + F.sum(F.col("times") * F.log1p(F.coalesce("n", F.lit(0))))).alias("log_likelihood"),
+    rows = source.mapInPandas(scored, f"row long, id {kind}, n long, total double, word string, times int")
+    sums = rows.join(counts.withColumnRenamed("n", "counted"), ["word"], "left").groupBy("row").agg(
+        F.max("id").alias(id_col), F.max("n").alias("n_tokens"),
+        F.sum(F.col("total") + F.col("times") * F.log1p(F.coalesce("counted", F.lit(0)))).alias("log_likelihood"),
     )
     return sums.select(id_col, "n_tokens", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1))).alias("mean_log_likelihood"))
