@@ -70,10 +70,15 @@ def extract_answer(spark, sf_dir):
     return r.select("conv_id", "turn", T.extract_answer(F.col("raw")).alias("answer"), T.extract_first_answer(F.col("raw")).alias("first_answer"))
 
 
-@query("strip_reasoning", "SELECT conv_id, turn, trim(text) AS final FROM conversations")
+@query(
+    "strip_reasoning",
+    r"""SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN 'The word assistantfinal is a marker. ' || text ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS final FROM conversations""",
+)
 def strip_reasoning(spark, sf_dir):
-    wrapped = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<|channel|>analysis<|message|>so<|end|><|channel|>final<|message|>"), "text", F.lit("<|return|>"))).otherwise(
-        F.concat(F.lit("analysis so assistantfinal"), "text")
+    wrapped = (
+        F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<|channel|>analysis<|message|>so<|end|><|channel|>final<|message|>"), "text", F.lit("<|return|>")))
+        .when(F.col("turn") % 3 == 1, F.concat(F.lit("analysis so assistantfinal"), "text"))
+        .otherwise(F.concat(F.lit("The word assistantfinal is a marker. "), "text"))
     )
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_reasoning(wrapped).alias("final"))
 
@@ -89,18 +94,22 @@ _OUT = """o AS (SELECT event_id, event_type, user_id FROM events)"""
 
 @query(
     "json_salvage",
-    """SELECT event_id, event_type || ',' || 'u' || user_id AS entities, 'p' || user_id AS proposition, event_type AS first_entity, CAST(5 AS DOUBLE) AS strength FROM events""",
+    """SELECT event_id, event_type || ',' || 'u' || user_id AS entities, 'p{1,2}' || user_id AS proposition, event_type AS first_entity,
+      CAST(CASE WHEN event_id % 2 = 0 THEN 7 ELSE 5 END AS DOUBLE) AS strength, event_type || '/kind/about "' || user_id || '"' AS typed FROM events""",
 )
 def json_salvage(spark, sf_dir):
     """Model output that breaks off: everything comes from the salvage patterns."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("u"))
     ents = F.format_string('```json\n{"entities": ["%s", "u%s", "%s"], "more": [', "event_type", "u", "event_type")
-    props = F.format_string('{"propositions": [{"text": "p%s", "entities": ["%s"]}, {"text": "half', "u", "event_type")
-    rels = F.format_string('{"relationships": [{"source": "a", "target": "%s", "description": "d", "strength": "x"}, {"sou', "event_type")
-    p = T.parse_propositions(props)
+    props = F.format_string('{"propositions": [{"text": "p{1,2}%s", "entities": ["%s"]}, {"text": "half', "u", "event_type")
+    whole = F.format_string('{"relationships": [{"source": "a", "target": "%s", "description": "d{", "strength": ', "event_type")
+    rels = F.concat(whole, F.when(F.col("event_id") % 2 == 0, '7').otherwise('"x"}, {"sou'))
+    typed = F.format_string('{"entities": [{"name": "%s", "type": "kind", "description": "about \\"%s\\""', "event_type", "u")
+    p, t = T.parse_propositions(props), F.get(T.parse_typed_entities(typed), F.lit(0))
     return e.select(
         "event_id", F.array_join(T.parse_entities(ents), ",").alias("entities"), F.get(p, F.lit(0))["text"].alias("proposition"),
         F.get(F.get(p, F.lit(0))["entities"], F.lit(0)).alias("first_entity"), F.get(T.parse_relations(rels), F.lit(0))["strength"].alias("strength"),
+        F.concat_ws("/", t["name"], t["type"], t["description"]).alias("typed"),
     )
 
 

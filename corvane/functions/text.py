@@ -94,13 +94,21 @@ def extract_first_answer(raw: Column) -> Column:
     return F.trim(F.element_at(parts, -1))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strip_reasoning(raw: Column) -> Column:
-    """The final channel's text: after the last marker, up to a terminator."""
-    tail = F.when(raw.contains(FINAL_MARKER), F.element_at(F.split(raw, r"<\|channel\|>final<\|message\|>"), -1)).when(
-        raw.contains(FINAL_FALLBACK), F.element_at(F.split(raw, FINAL_FALLBACK), -1)
-    )
-    ended = F.get(F.split(F.coalesce(tail, raw), r"<\|end\|>|<\|return\|>"), F.lit(0))
-    return F.trim(ended)
+    """The final channel's text: after the last marker, up to a terminator.
+
+    Without the marker, a text that begins with ``analysis`` ends in what follows its last fallback marker; any other is
+    left as it is.
+    """
+    after = F.element_at(F.split(raw, r"<\|channel\|>final<\|message\|>"), -1)
+    ended = stripped(F.get(F.split(after, r"<\|end\|>|<\|return\|>|<\|start\|>"), F.lit(0)))
+    thought = raw.rlike(r"^\s*analysis") & raw.contains(FINAL_FALLBACK)
+    return F.when(raw.contains(FINAL_MARKER), ended).when(thought, stripped(F.element_at(F.split(raw, FINAL_FALLBACK), -1))).otherwise(raw)
 
 
 def unfence(raw: Column) -> Column:
@@ -116,23 +124,51 @@ def parse_entities(raw: Column) -> Column:
     return F.array_distinct(F.coalesce(parsed, saved))
 
 
+#: A JSON string, and a colon or comma with the space around it.
+_STRING, _COLON, _COMMA = r'"(?:[^"\\]|\\.)*"', r"\s*:\s*", r"\s*,\s*"
+
+
+def _salvaged(raw: Column, fields: tuple[str, ...], kind: str, rest: str, ending: str = "") -> Column:
+    """Objects found one by one in broken output: the named string fields in order, then ``rest``."""
+    named = _COMMA.join(f'"{f}"{_COLON}{_STRING}' for f in fields)
+    objects = F.regexp_extract_all(raw, F.lit(rf"(?s)(\{{\s*{named}{rest})"), F.lit(1))
+    return F.transform(objects, lambda o: F.from_json(F.concat(o, F.lit(ending)), kind))
+
+
+def _first_filled(parsed: Column, saved: Column) -> Column:
+    return F.when(F.size(F.coalesce(parsed, F.array())) > 0, parsed).otherwise(saved)
+
+
 def parse_propositions(raw: Column) -> Column:
     """Array of (text, entities) of ``{"propositions": [...]}``, object by object if the whole is broken."""
-    kind = "propositions array<struct<text:string,entities:array<string>>>"
-    parsed = F.from_json(unfence(raw), kind)["propositions"]
-    objects = F.regexp_extract_all(raw, F.lit(r'(\{\s*"text"[^{}]*\})'), F.lit(1))
-    saved = F.transform(objects, lambda o: F.from_json(o, "text string, entities array<string>"))
-    return F.filter(F.coalesce(parsed, saved), lambda p: p["text"].isNotNull() & (F.trim(p["text"]) != ""))
+    kind = "text string, entities array<string>"
+    parsed = F.from_json(unfence(raw), "propositions array<struct<text:string,entities:array<string>>>")["propositions"]
+    saved = _salvaged(raw, ("text",), kind, rf'{_COMMA}"entities"{_COLON}\[[^\]]*\]\s*\}}')
+    fine = lambda p: p["text"].isNotNull() & (F.trim(p["text"]) != "")
+    return _first_filled(F.filter(parsed, fine), F.filter(saved, fine))
+
+
+def parse_typed_entities(raw: Column) -> Column:
+    """Array of (name, type, description) of ``{"entities": [...]}``, also of output that breaks off."""
+    fields = ("name", "type", "description")
+    kind = ", ".join(f"{f} string" for f in fields)
+    parsed = F.from_json(unfence(raw), f"entities array<struct<{','.join(f'{f}:string' for f in fields)}>>")["entities"]
+    fine = lambda e: e["name"].isNotNull() & (e["name"] != "")
+    return _first_filled(F.filter(parsed, fine), _salvaged(raw, fields, kind, "", "}"))
 
 
 def parse_relations(raw: Column) -> Column:
-    """Array of (source, target, description, strength); a missing, zero or unreadable strength is 5."""
-    kind = "relationships array<struct<source:string,target:string,description:string,strength:string>>"
-    parsed = F.from_json(unfence(raw), kind)["relationships"]
-    objects = F.regexp_extract_all(raw, F.lit(r'(\{\s*"source"[^{}]*\})'), F.lit(1))
-    saved = F.transform(objects, lambda o: F.from_json(o, "source string, target string, description string, strength string"))
+    """Array of (source, target, description, strength); a missing, zero or unreadable strength is 5.
+
+    Of output that breaks off, a last relation counts once its description is whole.
+    """
+    fields = ("source", "target", "description")
+    kind = ", ".join(f"{f} string" for f in (*fields, "strength"))
+    parsed = F.from_json(unfence(raw), f"relationships array<struct<{','.join(f'{f}:string' for f in (*fields, 'strength'))}>>")["relationships"]
+    fine = lambda r: (F.coalesce(r["source"], F.lit("")) != "") & (F.coalesce(r["target"], F.lit("")) != "")
+    saved = _salvaged(raw, fields, kind, rf'(?:{_COMMA}"strength"{_COLON}\d+)?', "}")
     return F.transform(
-        F.coalesce(parsed, saved),
+        _first_filled(F.filter(parsed, fine), saved),
         lambda r: F.struct(r["source"].alias("source"), r["target"].alias("target"), r["description"].alias("description"), strength(r["strength"]).alias("strength")),
     )
 

@@ -85,35 +85,33 @@ def sanitized(reset):
     return F.when(reset.isNull() | F.isnan(reset) | (reset < 0), 0.0).otherwise(reset)
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, reset: DataFrame, damping: float = 0.75, rounds: int = 50, keep_every: int = 5) -> DataFrame | None:
+def pagerank(vertices: DataFrame, edges: DataFrame, reset: DataFrame, damping: float = 0.75, rounds: int = 50) -> DataFrame | None:
     """(id, rank): personalised PageRank of the undirected weighted graph after fixed rounds of power iteration.
 
     ``reset``: id, p. What flows out of vertices without edges returns by the reset weights, so ranks always
-    sum to 1. None if no reset weight is left.
+    sum to 1. None if no reset weight is left. Edges stay partitioned by their source and reset weights by their id
+    for all rounds; a round moves what the vertices hold once, and is written as a checkpoint.
     """
     p = vertices.select("id").join(reset.select("id", sanitized(F.col("p")).alias("p")), ["id"], "left").select("id", F.coalesce("p", F.lit(0.0)).alias("p"))
     mass = p.agg(F.sum("p")).first()[0] or 0.0
     if mass <= 0:
         return None
-    p = cut(p.select("id", (F.col("p") / F.lit(float(mass))).alias("p")))
+    p = cut(p.select("id", (F.col("p") / F.lit(float(mass))).alias("p"))).repartition("id").persist()
     both = both_ways(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     total = both.groupBy("src").agg(F.sum("weight").alias("all"))
-    flow = cut(both.join(total, ["src"]).select("src", F.col("dst").alias("id"), (F.col("weight") / F.col("all")).alias("share")))
-    ranks = p.select("id", F.col("p").alias("rank"))
-    for turn in range(1, rounds + 1):
-        moved = (
-            ranks.withColumnRenamed("id", "src").join(flow, ["src"]).groupBy("id").agg((F.lit(damping) * F.sum(F.col("rank") * F.col("share"))).alias("got"))
-        )
-        rest = ranks.join(flow.select(F.col("src").alias("id")).distinct(), ["id"], "left_semi").agg(
-            (F.lit(1.0) - F.lit(damping) * F.coalesce(F.sum("rank"), F.lit(0.0))).alias("rest")
-        )
-        ranks = (
-            p.join(moved, ["id"], "left").join(F.broadcast(rest))  # one row
-            .select("id", (F.coalesce("got", F.lit(0.0)) + F.col("rest") * F.col("p")).alias("rank"))
-        )
-        if turn % keep_every == 0 or turn == rounds:
-            ranks = cut(ranks)
-    return ranks
+    flow = cut(both.join(total, ["src"]).select(F.col("src").alias("id"), "dst", (F.col("weight") / F.col("all")).alias("share"))).repartition("id").persist()
+    held = p.select("id", F.col("p").alias("rank"))
+    for turn in range(rounds + 1):
+        if turn == rounds:
+            out = cut(held)
+            break
+        got = held.join(flow, ["id"]).groupBy(F.col("dst").alias("id")).agg((F.lit(damping) * F.sum(F.col("rank") * F.col("share"))).alias("got"))
+        got = cut(got)
+        rest = got.agg((F.lit(1.0) - F.coalesce(F.sum("got"), F.lit(0.0))).alias("rest"))  # all that did not flow along edges
+        held = p.join(got, ["id"], "left").join(F.broadcast(rest)).select("id", (F.coalesce("got", F.lit(0.0)) + F.col("rest") * F.col("p")).alias("rank"))
+    p.unpersist()
+    flow.unpersist()
+    return out
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
