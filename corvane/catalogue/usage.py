@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corvane.catalogue.registry import query, r6
+from corvane.catalogue.registry import ORACLES, query, r6
 from corvane.operators import usage
 from corvane.session import shared_folder, table
 from corvane.streaming import usage as streams
@@ -129,6 +129,23 @@ def stream_usage(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("stream_admission", ORACLES["rate_admission"])
+def stream_admission(spark, sf_dir):
+    """The rate limiter as a stream with list state; its batch twin's rows."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        calls = stream(spark, sf_dir).select("user_id", "event_id", at)
+        streams.run_to_files(streams.streamed_admissions(calls, 2, 36000.0), f"{base}/out", f"{base}/checkpoint")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", at)
+    admitted = spark.read.parquet(f"{base}/out")
+    return admitted.join(e, ["user_id", "event_id"]).select("user_id", "event_id", F.round(F.col("admitted") - F.col("at"), 3).alias("wait"))
+
+
 @query("stream_append_log", "SELECT user_id, event_type, CAST(max(event_id) AS BIGINT) AS event_id FROM events GROUP BY 1, 2")
 def stream_append_log(spark, sf_dir):
     """Events appended by a checkpointed stream that runs twice, read by the latest-wins view."""

@@ -26,6 +26,20 @@ def system_metrics(results: DataFrame, *by: str) -> DataFrame:
     return results.groupBy(*by).agg(F.count("*").alias("n"), mean("em"), mean("f1"), mean("latency"))
 
 
+def full_metrics(results: DataFrame, *by: str, ks: tuple[int, ...] = (2, 5, 10)) -> DataFrame:
+    """Means per group of all that a run records: scores, recall at every k, latencies, tokens and calls a question.
+
+    ``results``: em, f1, recall (map by ``recall@k``), retrieval_latency_s, qa_latency_s, usage (map); what is missing counts as 0.
+    """
+    mean = lambda c, name: F.avg(F.coalesce(c.cast("double"), F.lit(0.0))).alias(name)
+    use = {"query_prompt_tokens": "chat_prompt_tokens", "query_completion_tokens": "chat_completion_tokens", "chat_calls_per_q": "chat_calls"}
+    return results.groupBy(*by).agg(
+        F.count("*").alias("n"), mean(F.col("em"), "em"), mean(F.col("f1"), "f1"), *[mean(F.col("recall")[f"recall@{k}"], f"recall_{k}") for k in ks],
+        mean(F.col("retrieval_latency_s"), "retrieval_latency_s"), mean(F.col("qa_latency_s"), "qa_latency_s"),
+        *[mean(F.col("usage")[key], name) for name, key in use.items()],
+    )
+
+
 def metrics_both(results: DataFrame) -> DataFrame:
     """Per system and per (system, qtype) in one pass; qtype is null in the former."""
     mean = lambda c: F.avg(F.coalesce(F.col(c), F.lit(0.0))).alias(c)

@@ -34,7 +34,11 @@ def run_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 class Admission(StatefulProcessor):
-    """State of one key: admission times of the last ``rpm`` calls, oldest first."""
+    """State of one key: admission times of the last ``rpm`` calls, oldest first.
+
+    The calls of one trigger are admitted by their time. A call that comes in a later trigger than a younger one is late:
+    it is admitted after those, no earlier than its own time, as a limiter that has already let them through must.
+    """
 
     def __init__(self, rpm: int, window: float = 60.0):
         self.rpm, self.window = rpm, window
@@ -44,14 +48,13 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         past = [r[0] for r in self.past.get()] if self.past.exists() else []
-        for b in rows:
-            b = b.sort_values(["at", "event_id"])
-            out = []
-            for at in b["at"]:
-                t = max(at, past[-self.rpm] + self.window) if len(past) >= self.rpm else at
-                past = [*past, t][-self.rpm :]
-                out.append(t)
-            yield pd.DataFrame({"user_id": key[0], "event_id": b["event_id"].to_numpy(), "admitted": out})
+        b = pd.concat(list(rows)).sort_values(["at", "event_id"])  # a key's calls of a trigger, in however many batches
+        out = []
+        for at in b["at"]:
+            t = max(at, past[-self.rpm] + self.window) if len(past) >= self.rpm else at
+            past = [*past, t][-self.rpm :]
+            out.append(t)
+        yield pd.DataFrame({"user_id": key[0], "event_id": b["event_id"].to_numpy(), "admitted": out})
         self.past.put([(t,) for t in past])
 
     def close(self) -> None:
