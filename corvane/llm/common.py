@@ -88,3 +88,11 @@ def sliced(batches, rows: int = 256):
     for b in batches:
         for k in range(0, len(b), rows):
             yield b.iloc[k : k + rows]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -165,7 +165,7 @@ def contaminated(
     Where a window stands in several places of the document, that reading of all of them is judged which is most consistent.
     Null and empty texts give nothing away, nor are they given away; an item of fewer than ``WINDOW`` tokens is
     given away only by a text of the same tokens, and one without ``PLAIN`` plain words not at all. Repeated
-    rows give their pair once. Ids may be null. Other columns are left out; empty tables give no rows.
+    rows give their pair once; of rows that repeat an id with other texts, the one that gives most away is told of. Ids may be null. Other columns are left out; empty tables give no rows.
     """
     prepare(docs.sparkSession)
     items = _items(benchmark, item_col, item_text_col)
@@ -200,14 +200,14 @@ def contaminated(
     distinct = F.least(F.size(F.array_distinct("values.x")), F.size(F.array_distinct("values.y")))
     both = both.withColumn("consistency", F.when(slots == 0, 1.0).otherwise(distinct / slots))
     told = F.coalesce(F.col("consistency") >= CONSISTENCY, F.lit(False))  # else the plain windows tell
-    return (
-        both.filter(told | (F.col("copy") >= COVERAGE - 1e-9))
-        .select(
-            F.col("doc").alias(id_col), F.col("item_").alias(item_col), F.when(told, F.col("matched")).otherwise(F.col("copied")).cast("long").alias("matched"),
-            F.when(told, F.size("asked")).otherwise(F.size("asked_plain")).cast("long").alias("windows"),
-            F.when(told, F.col("coverage")).otherwise(F.col("copy")).alias("coverage"), F.when(told, slots).otherwise(0).cast("long").alias("slots"),
-            F.when(told, F.col("consistency")).otherwise(1.0).alias("consistency"),
-            (told & F.exists("values", lambda v: v["x"] != v["y"])).alias("reparameterised"),
-        )
-        .dropDuplicates([id_col, item_col])
+    found = both.filter(told | (F.col("copy") >= COVERAGE - 1e-9)).select(
+        F.col("doc"), F.col("item_"), F.when(told, F.col("coverage")).otherwise(F.col("copy")).alias("coverage"),
+        F.when(told, F.col("consistency")).otherwise(1.0).alias("consistency"),
+        F.when(told, F.col("matched")).otherwise(F.col("copied")).cast("long").alias("matched"),
+        F.when(told, F.size("asked")).otherwise(F.size("asked_plain")).cast("long").alias("windows"),
+        F.when(told, slots).otherwise(0).cast("long").alias("slots"),
+        (told & F.exists("values", lambda v: v["x"] != v["y"])).alias("reparameterised"),
     )
+    # rows may repeat an id with other texts: the one that gives most away is told of
+    best = found.groupBy("doc", "item_").agg(F.max(F.struct("coverage", "consistency", "matched", "windows", "slots", "reparameterised")).alias("x"))
+    return best.select(F.col("doc").alias(id_col), F.col("item_").alias(item_col), "x.matched", "x.windows", "x.coverage", "x.slots", "x.consistency", "x.reparameterised")

@@ -9,6 +9,7 @@ that names content, heading or not). A small decision tree, grown here from the
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from html import unescape
@@ -37,6 +38,8 @@ CONTENT_TAGS = frozenset(["article", "main"])
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: End tags that may close an article, a body, a main part or a table from inside.
 CLOSING_TAGS = frozenset("html body article main div section".split())
+#: Elements beyond which an end tag of another kind closes nothing.
+BOUNDS = frozenset("article body main table".split())
 INLINE_TAGS = frozenset("abbr b cite code em font i mark q s small span strong sub sup time u".split())
 #: Words in a class, id or role that name furniture, and those that name content.
 FURNITURE_WORDS = frozenset(
@@ -130,6 +133,21 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     linked = link_words = 0
     #: open elements: (tag, furniture, content, skipped)
     stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    #: how many of each tag are open, outside the first ``BOUNDS`` element and then inside each of them
+    opened = [Counter()]
+
+    def put(tag: str, *marks: bool) -> None:
+        stack.append((tag, *marks))
+        if tag in BOUNDS:
+            opened.append(Counter())
+        opened[-1][tag] += 1
+
+    def drop() -> str:
+        tag = stack.pop()[0]
+        opened[-1][tag] -= 1
+        if tag in BOUNDS:
+            opened.pop()
+        return tag
 
     def text(raw: str) -> None:
         nonlocal link_words
@@ -169,13 +187,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 linked = max(0, linked - 1)
             if tag in BLOCK_TAGS:
                 close()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "body", "main", "table") and tag not in CLOSING_TAGS:
-                    break  # a stray end tag closes nothing beyond these
-            continue
+            if opened[-1][tag] or tag in CLOSING_TAGS and any(s[tag] for s in opened):
+                while drop() != tag:
+                    pass
+            continue  # a stray end tag closes nothing; which it is, the counts tell at once
         if tag == "br":
             text(" ")
             continue
@@ -189,7 +204,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if tag in BLOCK_TAGS:
             close()
             if stack[-1][0] in ("p", *_HEADINGS) or tag in ("li", "td", "th", "tr", "dd", "dt") and stack[-1][0] == tag:
-                stack.pop()  # these end where the next block begins
+                drop()  # these end where the next block begins
         _, furniture, content, skipped = stack[-1]
         names = set()
         if m[3]:
@@ -220,12 +235,12 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             at = stop.start()
             if tag not in BLOCK_TAGS:
                 text(" ")
-            stack.append((tag, furniture, content, True))
+            put(tag, furniture, content, True)
             continue
         if not m[3].rstrip().endswith("/") or tag in BLOCK_TAGS:
             if tag in INLINE_TAGS and not (own or hidden):
                 continue  # plain inline marks say nothing about the block
-            stack.append((tag, furniture or own, content, skipped or tag in SKIPPED_TAGS or bool(hidden)))
+            put(tag, furniture or own, content, skipped or tag in SKIPPED_TAGS or bool(hidden))
     close()
     return out
 

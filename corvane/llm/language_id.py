@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import prepare
+from corvane.llm.common import prepare, unused
 
 ORDER, BUCKETS = 3, 1 << 14
 PER_CLASS, LANDMARKS = 500, 256
@@ -104,14 +104,15 @@ def train(docs: DataFrame, usable, *, id_col="doc_id", text_col="text", lang_col
     if not counts:
         return [], np.zeros((BUCKETS, 0), dtype=np.float32)
     rate = F.create_map(*[F.lit(v) for k in sorted(counts) for v in (k, min(1.0, per_class / counts[k]))])
-    chance = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    chance = F.shiftrightunsigned(F.xxhash64("id", "text"), 11) / F.lit(float(1 << 53))  # ids may be null or repeat
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             bits = [np.packbits(presence([t])[0].astype(bool)).tobytes() for t in b["text"]]
             yield pd.DataFrame({"id": b["id"].astype("string"), "lang": b["lang"], "bits": bits})
 
-    sample = rows.filter(chance < F.element_at(rate, F.col("lang"))).mapInPandas(packed, "id string, lang string, bits binary")
+    drawn = rows.filter(chance < F.element_at(rate, F.col("lang"))).dropDuplicates(["id", "text", "lang"])
+    sample = drawn.mapInPandas(packed, "id string, lang string, bits binary")
     got = sorted(sample.collect(), key=lambda r: (r["lang"], str(r["id"]), bytes(r["bits"])))
     if not got:  # chance drew none of a handful: take them all
         got = sorted(rows.mapInPandas(packed, "id string, lang string, bits binary").collect(), key=lambda r: (r["lang"], str(r["id"])))
@@ -119,17 +120,17 @@ def train(docs: DataFrame, usable, *, id_col="doc_id", text_col="text", lang_col
     return fit(x, [r["lang"] for r in got])
 
 
-def identify(docs: DataFrame, usable, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, usable, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
     """Predict the language of every text; learn from the rows for which ``usable`` (a column) holds.
 
     Returns all columns of ``docs`` plus lang_pred and lang_score (0 to 1). Only text is an input of a
-    prediction. A null text, or one without any letter, is ``und`` with score 0. Rows that repeat get the
+    prediction. About ``per_class`` rows of each language are drawn to learn from; equal rows count once. A null text, or one without any letter, is ``und`` with score 0. Rows that repeat get the
     same answer; nulls in other columns and clashing names of other columns do no harm (an own lang_pred
     or lang_score is replaced). With nothing to learn from, every row is ``und``. An empty table gives no
     rows. Texts are read whole.
     """
     prepare(docs.sparkSession)
-    names, matrix = train(docs, usable, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    names, matrix = train(docs, usable, id_col=id_col, text_col=text_col, lang_col=lang_col, per_class=per_class)
     docs = docs.drop("lang_pred", "lang_score")
 
     @F.pandas_udf("lang string, score double")
@@ -139,5 +140,6 @@ def identify(docs: DataFrame, usable, *, id_col: str = "doc_id", text_col: str =
         langs, scores = predict(list(texts), names, matrix)
         return pd.DataFrame({"lang": langs, "score": scores})
 
-    out = docs.withColumn("_vote", voted(F.col(text_col)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_vote.lang").alias("lang_pred"), F.col("_vote.score").alias("lang_score"))
+    vote = unused(docs, "_vote")
+    out = docs.withColumn(vote, voted(F.col(text_col)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{vote}.lang").alias("lang_pred"), F.col(f"{vote}.score").alias("lang_score"))

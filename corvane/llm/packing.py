@@ -10,6 +10,7 @@ that a length that many documents share is no single task.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -36,6 +37,10 @@ _LETTERS = "a-zªµºÀ-ÖØ-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
 #: The pre-tokens of word_bpe_49k over Latin text, as its file describes them.
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: How a tokenizer file describes lower-cased words in pre-tokens of letters, single digits and the rest. For
+#: such files words are encoded one by one; texts for any other go through the tokenizer as a whole.
+WORDLY_STEPS = ["NFC", "Replace", "Lowercase"]
+WORDLY_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that split words in one library only; texts with them, with characters beyond Latin, or with a
 #: special token's beginning go through the tokenizer as a whole.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
@@ -61,6 +66,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def wordly(description: dict) -> bool:
+    """Whether a tokenizer's file describes words that can be encoded one by one as ``WordIds`` does."""
+    steps = (description.get("normalizer") or {}).get("normalizers", [])
+    parts = (description.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [n["type"] for n in steps] == WORDLY_STEPS
+        and [p["type"] for p in parts] == ["Split", "ByteLevel"]
+        and parts[0]["pattern"] == {"Regex": WORDLY_PATTERN}
+        and not parts[1]["add_prefix_space"]
+        and not parts[1].get("use_regex", True)
+        and description["model"]["type"] == "BPE"
+        and not any(a["content"] for a in description["added_tokens"] if not a["content"].startswith("<|"))
+    )
+
+
 class WordIds(dict):
     """White-space word to its ids, as little-endian 32-bit bytes; equal words are encoded once.
 
@@ -74,6 +94,8 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.wordly = wordly(json.load(f))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
@@ -95,7 +117,7 @@ class WordIds(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, the same that the tokenizer gives for it."""
-        if not plain(text):
+        if not self.wordly or not plain(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.__getitem__, text.lower().split()))
 

@@ -3,7 +3,7 @@
 Built from DataFrame functions alone. Records are ordered by a key (a 64-bit hash of the text, so equal
 texts are neighbours). A sample in which a record's chance is in proportion to its size gives the
 splitters of some ``RANGES`` fine ranges; a splitter that is drawn twice is a heavy key and gets a range
-of its own. Ranges that still hold too many bytes or rows are subdivided by a hash of the id. Running
+of its own. Ranges that still hold too many bytes or rows are subdivided by a hash of the row. Running
 totals over the fine ranges, and within each of them over its own records only, place every record
 exactly, so that shards differ by little more than one group of equal texts.
 """
@@ -56,7 +56,7 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(raw).alias("crc"),
             F.xxhash64(text).alias("key"),
-            F.xxhash64(F.col(id_col), F.lit(1)).alias("dice"),
+            F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).alias("dice"),  # equal rows with equal ids part, too
         )
     )
     total, rows = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()

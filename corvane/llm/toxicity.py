@@ -2,9 +2,9 @@
 
 Terms are words and word beginnings (4 to 7 letters) that labelled toxic texts hold far more often than
 clean ones, each at three levels: present, repeated, and frequent for the text's length. A text is the
-TF-IDF vector of its terms. Labelled examples lie in an inverted index in blocks, which keeps the largest
-weight of every term in every block. A search takes the blocks by falling upper bound (the product of the
-query with those maxima) and stops when the bound falls below the k-th best cosine, so its result is
+TF-IDF vector of its terms. Labelled examples lie in an inverted index in blocks: a term's list names its blocks
+with its largest weight in each, and a block holds its postings. A search adds up the maxima of the query's lists
+to a bound for each block, reads blocks by falling bound, and stops when the bound falls below the k-th best cosine, so its result is
 exact. The neighbours' votes, weighted by similarity and by how thinly their class was sampled, give a
 calibrated score, and the neighbours are its evidence.
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, prepare
+from corvane.llm.common import cut, prepare, unused
 
 TOXIC, CLEAN = 2000, 4000
 #: Neighbours of a vote, examples in a block of the index.
@@ -57,15 +57,53 @@ def levels(base: str, count: int, words: int) -> list[tuple[str, int]]:
     return out
 
 
+class Lists:
+    """A block-max inverted index: for every term its blocks with its largest weight there, and in every block its postings."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.count = len(vectors)
+        rows, terms = np.nonzero(vectors)
+        weights = vectors[rows, terms].astype(np.float32)
+        block = rows // BLOCK
+        order = np.lexsort((rows, terms, block))  # in a block by term
+        rows, terms, weights, block = rows[order], terms[order], weights[order], block[order]
+        self.blocks = -(-self.count // BLOCK)
+        starts = np.searchsorted(block, np.arange(self.blocks + 1))
+        self.postings = [(terms[a:b], (rows[a:b] % BLOCK).astype(np.int64), weights[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        new = np.ones(len(terms), dtype=bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        most = np.maximum.reduceat(weights, first) if len(first) else weights
+        by_term = np.argsort(terms[first], kind="stable")
+        self.listed = block[first][by_term]
+        self.maxima = most[by_term]
+        self.at = np.searchsorted(terms[first][by_term], np.arange(vectors.shape[1] + 1))
+
+    def bounds(self, v: np.ndarray) -> np.ndarray:
+        """The most that an example of each block can score, from the lists of the query's terms."""
+        out = np.zeros(self.blocks, dtype=np.float64)
+        for t in np.flatnonzero(v):
+            span = slice(self.at[t], self.at[t + 1])
+            out[self.listed[span]] += v[t] * self.maxima[span]
+        return out
+
+    def scores(self, block: int, v: np.ndarray) -> np.ndarray:
+        """Cosines of the examples of a block with the query."""
+        terms, rows, weights = self.postings[block]
+        own = v[terms]
+        hit = np.flatnonzero(own)
+        size = min(BLOCK, self.count - block * BLOCK)
+        return np.bincount(rows[hit], weights=own[hit].astype(np.float64) * weights[hit], minlength=size)
+
+
 @dataclass
 class Model:
-    """Terms, their weights, the examples' vectors, and the block maxima."""
+    """Terms, their weights, and the inverted index of the examples."""
 
     #: base -> {level: column}
     terms: dict[str, dict[int, int]] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))
-    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))
+    lists: Lists = field(default_factory=lambda: Lists(np.zeros((0, 0), dtype=np.float32)))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
@@ -131,22 +169,16 @@ class Known(dict):
 
 def nearest(model: Model, v: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """(rows, cosines) of the exact k nearest examples with a cosine above 0; ties go to the earlier row."""
-    bounds = model.maxima @ v
-    order = np.argsort(-bounds, kind="stable")
+    bounds = model.lists.bounds(v)
     rows = np.zeros(0, dtype=np.int64)
-    cosines = np.zeros(0, dtype=np.float32)
-    step = 1
-    at = 0
-    while at < len(order):
-        if len(rows) >= k and bounds[order[at]] < cosines[k - 1] - 1e-6 or bounds[order[at]] <= 0:
+    cosines = np.zeros(0, dtype=np.float64)
+    for block in np.argsort(-bounds, kind="stable"):
+        if bounds[block] <= 0 or len(rows) >= k and bounds[block] < cosines[k - 1] - 1e-6:
             break
-        take = order[at : at + step]
-        at += step
-        step = min(step * 2, 16)
-        own = (take[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        own = own[own < len(model.vectors)]
-        rows = np.concatenate([rows, own])
-        cosines = np.concatenate([cosines, model.vectors[own] @ v])
+        found = model.lists.scores(block, v)
+        some = np.flatnonzero(found > (cosines[k - 1] - 1e-6 if len(rows) >= k else 0))
+        rows = np.concatenate([rows, block * BLOCK + some])
+        cosines = np.concatenate([cosines, found[some]])
         best = np.lexsort((rows, -np.round(cosines, 6)))[:k]
         rows, cosines = rows[best], cosines[best]
     keep = cosines > 1e-6
@@ -155,7 +187,7 @@ def nearest(model: Model, v: np.ndarray, k: int = K) -> tuple[np.ndarray, np.nda
 
 def vote(model: Model, v: np.ndarray | None) -> tuple[float, np.ndarray]:
     """Score from 0 to 1, and the neighbours' rows."""
-    if v is None or not len(model.vectors):
+    if v is None or not model.lists.count:
         return model.without, np.zeros(0, dtype=np.int64)
     rows, cosines = nearest(model, v)
     pull = cosines.astype(np.float64) ** 4 * model.weight[rows]
@@ -201,13 +233,11 @@ def index(rows: list[tuple[int, bool, dict[int, float]]], columns: dict[str, dic
     # examples that share their heaviest term lie together, so that the block maxima say more
     order = np.lexsort((np.flatnonzero(has), vectors.argmax(1))) if len(vectors) else np.zeros(0, dtype=np.int64)
     vectors = vectors[order]
-    tops = [vectors[b : b + BLOCK].max(0) for b in range(0, len(vectors), BLOCK)]
-    maxima = np.stack(tops) if tops else np.zeros((0, width), dtype=np.float32)
     prior = float(own[toxic].sum() / own.sum())
     without = float((own[~has & toxic].sum() + prior) / (own[~has].sum() + 1))
     at = np.flatnonzero(has)[order]
     ids = np.array([r[0] for r in rows], dtype=np.int64)
-    return Model(columns, idf, vectors, maxima, toxic[at], own[at], ids[at], without, prior)
+    return Model(columns, idf, Lists(vectors), toxic[at], own[at], ids[at], without, prior)
 
 
 def train(
@@ -256,20 +286,21 @@ def train(
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, usable, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7
-) -> DataFrame:
+    docs: DataFrame, labels: DataFrame, usable, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7,
+    toxic: int = TOXIC, clean: int = CLEAN,
+) -> DataFrame:
     """Score every whole text of ``docs`` for toxicity, learning from the labels for which ``usable`` holds.
 
     Returns all columns of ``docs`` plus tox_score (0 to 1, higher: likelier toxic), tox_pred (1 if the
     score is at least ``threshold``) and tox_evidence (ids of the nearest examples, nearest first). Only
-    the text is an input of a score. A text without any term, so also a null or empty one, gets the share
+    the text is an input of a score. ``toxic`` and ``clean`` bound the examples drawn of each class. A text without any term, so also a null or empty one, gets the share
     of toxic rows among examples without any. Labels other than 0 and 1 (so also null) teach nothing; of a repeated
     id the highest label counts and one of its texts. Without labelled rows every score is 0. Repeated
     rows get equal scores, null ids are allowed, other columns pass (own result columns are replaced).
     An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    model = train(docs, labels, usable, id_col=id_col, text_col=text_col, label_col=label_col)
+    model = train(docs, labels, usable, id_col=id_col, text_col=text_col, label_col=label_col, toxic=toxic, clean=clean)
     docs = docs.drop("tox_score", "tox_pred", "tox_evidence")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
@@ -281,9 +312,10 @@ def score_toxicity(
             got = [vote(model, vector_of(model, words_of(t), known)) for t in s]
             yield pd.DataFrame({"score": [g[0] for g in got], "evidence": [model.ids[g[1]] for g in got]})
 
-    out = docs.withColumn("_tox", scored(F.col(text_col)))
-    score = F.col("_tox.score")
+    tox = unused(docs, "_tox")
+    out = docs.withColumn(tox, scored(F.col(text_col)))
+    score = F.col(f"{tox}.score")
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns], score.alias("tox_score"), (score >= threshold).cast("int").alias("tox_pred"),
-        F.col("_tox.evidence").alias("tox_evidence"),
+        F.col(f"{tox}.evidence").alias("tox_evidence"),
     )

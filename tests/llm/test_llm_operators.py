@@ -187,11 +187,13 @@ def test_url_filter_with_many_rules_and_a_hot_host(spark):
         assert got[k] == ((best[2], best[3]) if best else (None, "allow"))
 
 
-def test_token_ids_are_the_tokenizers():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_ids_are_the_tokenizers(name):
     from tokenizers import Tokenizer
 
-    path = tokenizer_path()
+    path = tokenizer_path(name)
     own, real = packing.WordIds(path), Tokenizer.from_file(path)
+    assert own.wordly == (name == "word_bpe_49k.json")
     for t in ["It's ΣΑΣ don't¹²½ x<|endoftext|> y", "İ ſ µm ªº ''s !!'s", "a\x1cb \x85c", "naïve café €", "日本語 🎉", "'S O'RE we'VE", "", " \n", "A,b;c…d"]:
         assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == real.encode(t, add_special_tokens=False).ids
 
@@ -231,6 +233,18 @@ def test_packing_round_trip(spark):
     assert out.sequence_id.nunique() <= math.ceil(out.length.sum() / 2048) + 2
 
 
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.main_text("<div>" * n + "</x>" * n + "<p>text</p>" + "</main>" * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 12 * took(10_000) + 0.5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header>Site</header>
 <nav><ul><li><a href="/a">A</a></li></ul></nav><div id="cookie-banner">We use cookies and more words than one would think</div><div class="ad">Buy now</div>
 <main><article><h1>Head &amp; more</h1><p><b>One
@@ -296,12 +310,39 @@ def test_nearest_examples_are_exact():
     rng = np.random.default_rng(7)
     vectors = (rng.random((500, 60)) * (rng.random((500, 60)) < 0.1)).astype(np.float32)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    maxima = np.array([vectors[b : b + toxicity.BLOCK].max(0) for b in range(0, 500, toxicity.BLOCK)])
-    model = toxicity.Model(idf=np.ones(60), vectors=vectors, maxima=maxima)
+    model = toxicity.Model(idf=np.ones(60), lists=toxicity.Lists(vectors))
     for v in vectors[::25]:
         rows, cosines = toxicity.nearest(model, v, 15)
         want = np.sort((vectors @ v)[vectors @ v > 1e-6])[::-1][:15]
-        assert np.allclose(cosines, want, atol=1e-5)
+        assert np.allclose(cosines, want, atol=1e-5) and np.allclose((vectors @ v)[rows], cosines, atol=1e-5)
+        bounds = model.lists.bounds(v)
+        assert all((vectors @ v)[k : k + toxicity.BLOCK].max() <= bounds[k // toxicity.BLOCK] + 1e-5 for k in range(0, 500, toxicity.BLOCK))
+
+
+def test_toxicity_is_the_brute_force_vote(spark):
+    """The whole operator against cosines of all examples, where every labelled row is an example."""
+    rng = random.Random(8)
+    bad, good = [f"bad{k}" for k in range(12)], [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choices(good, k=40) + rng.choices(bad, k=rng.randrange(1, 6) if k % 3 == 0 else rng.random() < 0.05))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    v = np.zeros((model.lists.count, len(model.idf)))
+    for block, (terms, at, weights) in enumerate(model.lists.postings):
+        v[block * toxicity.BLOCK + at, terms] = weights
+    known = toxicity.Known(model.terms)
+    for r in toxicity.score_toxicity(docs, labels, F.lit(True)).collect():
+        q = toxicity.vector_of(model, toxicity.words_of(r["text"]), known)
+        if q is None:
+            assert r["tox_score"] == pytest.approx(model.without) and not r["tox_evidence"]
+            continue
+        cosines = v @ q
+        order = np.lexsort((np.arange(len(v)), -np.round(cosines, 6)))[: toxicity.K]
+        order = order[cosines[order] > 1e-6]
+        pull = cosines[order] ** 4 * model.weight[order]
+        doubt = 0.1 * model.weight[~model.toxic].mean()
+        want = (pull[model.toxic[order]].sum() + doubt * model.prior) / (pull.sum() + doubt)
+        assert r["tox_score"] == pytest.approx(want, abs=1e-4) and len(r["tox_evidence"]) == len(order)
 
 
 def test_toxicity_learns(spark):
