@@ -2,7 +2,8 @@
 
 Every token of a document is predicted from ``SIDE`` tokens on its left and as many on its right: the
 embeddings of the neighbours, by place, add up to a hidden layer, and a softmax gives the conditional
-probabilities of the token's class. Frequent words are classes of their own; other words share a class by
+probabilities of the token's class. Tokens are runs of bytes between ASCII white space and punctuation, and punctuation marks;
+they are told apart by 64-bit hashes. Frequent words are classes of their own; other words share a class by
 their length and ending, and their probability inside it is their share of the class's words in the corpus, by a
 count of every word (and one more for each, and for words not seen). The summed conditional log-probabilities score the document.
 
@@ -14,20 +15,17 @@ round, and the tasks' weights are averaged after it.
 
 from __future__ import annotations
 
-import math
 import string
-import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, prepare, shuffle_partitions, sliced
+from corvane.llm.common import cut, prepare, shuffle_partitions
+from corvane.llm.shingles import byte_hashes, mix
 
 SIDE, HIDDEN = 2, 24
 #: Classes of frequent words, of other words, and one for the place beyond a document's ends.
@@ -40,42 +38,93 @@ PLACES = (*range(-SIDE, 0), *range(1, SIDE + 1))
 ROUNDS, MINIBATCH, RATE = 2, 1024, 2.0
 #: Words whose counts go along with the model; those of rarer words are joined by shuffle.
 HELD = 300_000
-#: Words that a task counts before it hands its counts on; tokens scored at once; documents whose tokens are mixed in training.
-COUNTED, STRIP, DRAWN = 500_000, 512, 100
-#: Characters that are tokens of their own; other tokens are what white space and these leave.
-MARKS = string.punctuation.replace("_", "")
-
-
-def tokens(text: str | None) -> list[str]:
-    if not text:
-        return []
-    text = text.lower()
-    for mark in MARKS:
-        if mark in text:
-            text = text.replace(mark, f" {mark} ")
-    return text.split()
-
-
-def tail_class(word: str) -> int:
-    """Class of a word that is not frequent: by length and ending, of any corpus the same."""
-    return FREQUENT + (min(len(word), 12) * 7 + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass"))) % TAIL
+#: Distinct words that a task counts before it hands its counts on; tokens scored at once; bytes of text taken at once.
+COUNTED, STRIP, CHUNK = 1_000_000, 512, 1 << 18
+ONES = np.ones(CLASSES, dtype=np.float32)
+#: Places of the neighbours, as seen from a token.
+PLACES = (*range(-SIDE, 0), *range(1, SIDE + 1))
+#: Bytes that are tokens of their own, and those that part tokens; any other run of bytes is a token.
+MARKS = string.punctuation.replace("_", "").encode()
+_KIND = np.ones(256, dtype=np.uint8)
+_KIND[[*range(33), 127]] = 0
+_KIND[list(MARKS)] = 2
 
 
-class Classes(dict):
-    """Word to class; ``frequent`` lists the words with a class of their own."""
+@dataclass
+class Tokens:
+    """The tokens of some documents as hashes, one document after another; their classes as rare words; tokens of each document."""
+
+    hashes: np.ndarray
+    tail: np.ndarray
+    sizes: np.ndarray
+
+
+def chunks(texts: Iterable) -> Iterator[list[bytes]]:
+    """Lower-cased texts as bytes, some ``CHUNK`` of them at once."""
+    raw, size = [], 0
+    for t in texts:
+        raw.append(t.lower().encode("utf-8", "surrogatepass") if t else b"")
+        size += len(raw[-1])
+        if size > CHUNK:
+            yield raw
+            raw, size = [], 0
+    if raw:
+        yield raw
+
+
+def tokens(raw: list[bytes]) -> Tokens:
+    data = np.frombuffer(b" " + b" ".join(raw) + b" ", dtype=np.uint8)
+    kind = _KIND[data]
+    word, mark = kind == 1, kind == 2
+    starts = np.flatnonzero((word[1:] & ~word[:-1]) | mark[1:]) + 1
+    ends = np.flatnonzero((word[:-1] & ~word[1:]) | mark[:-1]) + 1
+    hashes = byte_hashes(data, starts, ends)
+    length = np.minimum(ends - starts, 12)
+    last = data[ends - 1].astype(np.int64) * 131 + np.where(length > 1, data[ends - 2], 0) * 31
+    tail = (FREQUENT + (length * 7 + last + (last >> 5)) % TAIL).astype(np.uint8)
+    bounds = np.searchsorted(starts, np.concatenate([[0], 1 + np.cumsum([len(r) + 1 for r in raw])]))
+    return Tokens(hashes, tail, np.diff(bounds))
+
+
+class Vocabulary:
+    """The words held, by the hashes of their bytes, and the logarithms of their counts and one.
+
+    Frequent words come first and have classes of their own, in order. A word is looked up in the bucket of its hash's
+    first bits, which holds few.
+    """
 
-    def __init__(self, frequent: list[str]):
-        super().__init__({"": EDGE} | {w: k for k, w in enumerate(frequent)})
-        self.frequent = frequent
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        # the last place is that of words not held; EDGE: not frequent
+        self.frequent = np.append(np.where(order < FREQUENT, order, EDGE), EDGE).astype(np.uint8)
+        self.inside = np.append(np.where(order < FREQUENT, 0.0, np.log1p(counts[order])), 0.0)
+        self.shift = np.uint64(64 - max(1, int(len(hashes)).bit_length() + 1))
+        edges = np.arange((1 << int(64 - self.shift)), dtype=np.uint64) << self.shift
+        self.first = np.append(np.searchsorted(self.hashes, edges), len(hashes)).astype(np.int32)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Of every hash its place among the words held, or their number if it is none."""
+        bucket = (h >> self.shift).astype(np.int64)
+        at, stop = self.first[bucket], self.first[bucket + 1]
+        out = np.full(len(h), len(self.hashes), dtype=np.int32)
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):
+            same = self.hashes[at[open_]] == h[open_]
+            out[open_[same]] = at[open_[same]]
+            open_ = open_[~same]
+            at[open_] += 1
+            open_ = open_[at[open_] < stop[open_]]
+        return out
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-            self.update({"": EDGE} | {w: k for k, w in enumerate(self.frequent)})
-            if word in self:
-                return self[word]
-        k = self[word] = tail_class(word)
-        return k
+    def read(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes with ``SIDE`` edges around each document; the tokens' places in that sequence, and among the words held."""
+        known = self.places(t.hashes)
+        own = self.frequent[known]
+        at = np.arange(len(known)) + SIDE * (1 + np.repeat(np.arange(len(t.sizes)), t.sizes))
+        classes = np.full(len(known) + SIDE * (len(t.sizes) + 1), EDGE, dtype=np.uint8)
+        classes[at] = np.where(own == EDGE, t.tail, own)
+        return classes, at, known
 
 
 @dataclass
@@ -154,60 +203,52 @@ class Network:
             self.inputs[k][own[first]] -= np.add.reduceat(back[order], first, axis=0)
 
 
-def padded(texts: Iterable[list[str]], known: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the tokens of many documents, one after another with ``SIDE`` edges around each; tokens of each."""
-    texts = list(texts)
-    edges = [""] * SIDE
-    flat = chain.from_iterable(chain((edges,), *((ws, edges) for ws in texts)))
-    sizes = np.array([len(ws) for ws in texts], dtype=np.int64)
-    return np.fromiter(map(known.__getitem__, flat), dtype=np.uint8, count=int(sizes.sum()) + SIDE * (len(texts) + 1)), sizes
-
-
-class Inside(dict):
-    """Word to the logarithm of its count and one; 0 for words with a class of their own, NaN for words not held."""
-
-    def __missing__(self, word: str) -> float:
-        return math.nan
-
-
 @dataclass
 class LanguageModel:
-    frequent: list[str]
-    inside: Inside
+    vocabulary: Vocabulary
     #: by class, what the counts of its words are divided by, as a logarithm
     mass: np.ndarray
     network: Network
 
-    def score(self, texts, known: Classes) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Of each text its tokens and summed conditional log-probability, without the counts of words not held; these words, and the texts they stand in."""
-        each = [tokens(t) for t in texts]
-        classes, sizes = padded(each, known)
-        flat = list(chain.from_iterable(each))
-        inside = np.fromiter(map(self.inside.__getitem__, flat), dtype=np.float64, count=len(flat))
-        rare = np.flatnonzero(np.isnan(inside))
-        inside[rare] = 0.0
-        real = classes[SIDE : len(classes) - SIDE] != EDGE
-        told = self.network.log_probabilities(classes)[real] + inside - self.mass[classes[SIDE : len(classes) - SIDE][real]]
+    def score(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text its tokens and summed conditional log-probability, without the counts of words not held; the hashes of these, and the texts they stand in."""
+        t = tokens(raw)
+        classes, at, known = self.vocabulary.read(t)
+        told = self.network.log_probabilities(classes)[at - SIDE]
+        told += self.vocabulary.inside[known] - self.mass[classes[at]]
         sums = np.concatenate([[0.0], np.cumsum(told)])
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        return sizes, sums[at[1:]] - sums[at[:-1]], [flat[k] for k in rare.tolist()], np.searchsorted(at, rare, side="right") - 1
+        ends = np.concatenate([[0], np.cumsum(t.sizes)])
+        rare = np.flatnonzero(known == len(self.vocabulary.hashes))
+        return t.sizes, sums[ends[1:]] - sums[ends[:-1]], t.hashes[rare], np.searchsorted(ends, rare, side="right") - 1
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts."""
+    """(word, tail, n) over all texts: the hash of each word, its class as a rare word, its count."""
+
+    def summed(parts: list[tuple]) -> tuple:
+        h, k, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, first, back = np.unique(h, return_index=True, return_inverse=True)
+        return h, k[first], np.bincount(back, weights=n).astype(np.int64)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        parts, waiting = [], 0
         for b in batches:
-            for t in b["text"]:
-                counts.update(tokens(t))
-                if len(counts) > COUNTED:
-                    yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-                    counts = Counter()
-        if counts:
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-
-    return texts.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            for raw in chunks(b["text"]):
+                t = tokens(raw)
+                h, first, n = np.unique(t.hashes, return_index=True, return_counts=True)
+                parts.append((h, t.tail[first], n))
+                waiting += len(h)
+                if waiting > COUNTED:
+                    parts = [summed(parts)]
+                    waiting = len(parts[0][0])
+                    if waiting > COUNTED // 2:
+                        yield pd.DataFrame({"word": parts[0][0].view(np.int64), "tail": parts[0][1].astype(np.int32), "n": parts[0][2]})
+                        parts, waiting = [], 0
+        if parts:
+            h, k, n = summed(parts)
+            yield pd.DataFrame({"word": h.view(np.int64), "tail": k.astype(np.int32), "n": n})
+
+    return texts.mapInPandas(counted, "word long, tail int, n long").groupBy("word").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[LanguageModel, DataFrame]:
@@ -223,38 +264,28 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     kept = kept.collect()
     held = sorted(kept, key=lambda r: (-r["n"], r["word"]))
     top = held[:FREQUENT]
-    frequent = [r["word"] for r in top]
-    inside = Inside({w: 0.0 for w in frequent} | {r["word"]: math.log(r["n"] + 1) for r in held[FREQUENT:]})
-
-    def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = set(frequent)
-        for b in batches:
-            k = [tail_class(w) for w in b["word"]]
-            keep = np.array([w not in own for w in b["word"]], dtype=bool)
-            frame = pd.DataFrame({"k": k, "n": b["n"], "types": 1})[keep]
-            yield frame.groupby("k", as_index=False).sum()
-
-    tail = words.mapInPandas(classed, "k int, n long, types long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("types").alias("types"))
+    hashes = np.array([r["word"] for r in held], dtype=np.int64)
+    vocabulary = Vocabulary(hashes.view(np.uint64), np.array([r["n"] for r in held], dtype=np.float64))
+    words_known = spark.sparkContext.broadcast(vocabulary)
+    tail = words.filter(~F.col("word").isin([r["word"] for r in top])).groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("types"))
     counts, types = np.ones(CLASSES), np.ones(CLASSES)
     counts[: len(top)] += [r["n"] for r in top]
     for r in tail.collect():
-        counts[r["k"]] += r["n"]
-        types[r["k"]] += r["types"]  # one more for words not seen
+        counts[r["tail"]] += r["n"]
+        types[r["tail"]] += r["types"]  # one more for words not seen
     network = Network.fresh(np.log(counts / counts.sum()))
     dealt = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     groups = max(1, min(16, shuffle_partitions(spark)))
     for turn in range(ROUNDS):
-        start = spark.sparkContext.broadcast((frequent, network.flat()))
+        start = spark.sparkContext.broadcast(network.flat())
 
         def trained(batches: Iterator[pd.DataFrame], start=start, rate=RATE / (1 + turn)) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
-            words_, flat = start.value
-            net, known, seen = Network.of(flat.copy()), Classes(words_), 0
+            net, known, seen = Network.of(start.value.copy()), words_known.value, 0
             for b in batches:
-                for k in range(0, len(b), DRAWN):
-                    classes, _ = padded(map(tokens, b["text"].iloc[k : k + DRAWN]), known)
-                    places = np.flatnonzero(classes != EDGE)
+                for raw in chunks(b["text"]):
+                    classes, places, _ = known.read(tokens(raw))
                     mixed = np.random.default_rng(len(places)).permutation(places)
                     for s in range(0, len(mixed), MINIBATCH):
                         net.step(classes, mixed[s : s + MINIBATCH], rate * min(1.0, (len(mixed) - s) / MINIBATCH))
@@ -280,7 +311,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             network = Network.of(sum(np.frombuffer(f, dtype=np.float64) for _, f in flats) / total)
     mass = np.where(np.arange(CLASSES) < FREQUENT, 1.0, counts - 1 + types)
     rest = words if least is None else words.filter(F.floor(F.log2("n") * 16) < least)
-    return LanguageModel(frequent, inside, np.log(mass), network), rest
+    return LanguageModel(vocabulary, np.log(mass), network), rest
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: tuple[LanguageModel, DataFrame] | None = None) -> DataFrame:
@@ -300,20 +331,22 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        known = Classes(own.frequent)
         for b in batches:
-            parts = []
-            for part in sliced([b], 64):
-                n, total, words, owner = own.score(part["text"], known)
-                # every text has a row of its own, with a word that is no token; its sum stands there
-                frame = pd.DataFrame({"row": part["row"].array, "id": part["id"].array, "n": n, "total": total, "word": [f"\0{row}" for row in part["row"]], "times": 0})
-                seen = pd.DataFrame({"row": frame["row"].to_numpy()[owner], "id": frame["id"].array[owner], "n": 0, "total": 0.0, "word": words, "times": 1})
+            parts, at = [], 0
+            for raw in chunks(b["text"]):
+                n, total, words, owner = own.score(raw)
+                part = b.iloc[at : at + len(raw)]
+                at += len(raw)
+                # every text has a row of its own, with a word of no count; its sum stands there
+                row, ids = part["row"].to_numpy(dtype=np.int64), part["id"].array
+                frame = pd.DataFrame({"row": row, "id": ids, "n": n, "total": total, "word": mix(row.view(np.uint64)).view(np.int64), "times": 0})
+                seen = pd.DataFrame({"row": row[owner], "id": ids[owner], "n": 0, "total": 0.0, "word": words.view(np.int64), "times": 1})
                 parts += [frame, seen]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["row", "id", "n", "total", "word", "times"])
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = source.mapInPandas(scored, f"row long, id {kind}, n long, total double, word string, times int")
-    sums = rows.join(counts.withColumnRenamed("n", "counted"), ["word"], "left").groupBy("row").agg(
+    rows = source.mapInPandas(scored, f"row long, id {kind}, n long, total double, word long, times int")
+    sums = rows.join(counts.select("word", F.col("n").alias("counted")), ["word"], "left").groupBy("row").agg(
         F.max("id").alias(id_col), F.max("n").alias("n_tokens"),
         F.sum(F.col("total") + F.col("times") * F.log1p(F.coalesce("counted", F.lit(0)))).alias("log_likelihood"),
     )

@@ -34,6 +34,15 @@ def _grow(n: int) -> None:
             _powers[k] = np.concatenate([p, p * _U(pow(b, len(p), 1 << 64))])
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes; equal stretches (A-Z as a-z) have equal hashes wherever they stand."""
+    _grow(len(data) + 1)
+    total = np.empty(len(data) + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTES[data] * _powers[0][: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
+
+
 def _chunk(raw: list[bytes]) -> list[np.ndarray]:
     lengths = np.array([len(r) + 1 for r in raw])
     data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
