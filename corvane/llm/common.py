@@ -3,39 +3,12 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers of this session import the package, and make reliable checkpoints possible.
-
-    The checkpoint folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary folder
-    is used only where that setting is absent, as in local tests.
-    """
-    sc = spark.sparkContext
-    path = sc.environment.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and return it with a short lineage."""
-    spark = df.sparkSession
-    prepare(spark)
-    done = df.checkpoint(eager=True)._jdf
-    # Plans of checkpoints keep size estimates, and joins multiply them: in a loop they would grow without end.
-    # Over the same rows, a frame without them starts anew, and adaptive execution measures what there is.
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+from corvane.session import cut, prepare, table  # noqa: F401
 
 
 class Scratch:
@@ -63,12 +36,6 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder; the folder may be any path that Spark can read."""
-    prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

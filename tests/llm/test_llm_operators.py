@@ -80,7 +80,7 @@ def test_jaccard_in_wide_cells(spark, monkeypatch, seed):
 
     for name, value in {"SMALL": 2, "WIDE": 10, "FEW_IDS": 0, "BLOCK": 7, "SPLIT": 3}.items():
         monkeypatch.setattr(J, name, value)
-    rows = near_copies(seed, groups=3)
+    rows = near_copies(seed, groups=2, copies=18)
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
