@@ -331,18 +331,18 @@ def path_materialise(spark, sf_dir):
 _HOPS = f"""WITH {_SYN} SELECT a.vec_id AS x, b.vec_id AS y, s.e1::BIGINT AS entity1, s.e2::BIGINT AS entity2, round(s.weight, 6) AS similarity FROM embeddings a JOIN syn2 s ON s.e1 = a.label JOIN embeddings b ON b.label = s.e2"""
 
 
-@query("exact_hop_pairs", "SELECT a.vec_id AS x, b.vec_id AS y, a.label::BIGINT AS entity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0")
+@query("exact_hop_pairs", "SELECT a.vec_id AS x, b.vec_id AS y, a.label::BIGINT AS entity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id")
 def exact_hop_pairs(spark, sf_dir):
     v, held, syn = beam_inputs(spark, sf_dir)
-    lasts = v.filter("id % 50 = 0").select(F.col("id").alias("x"))
+    lasts = v.select(F.col("id").alias("x"))
     found = connections(lasts, held, syn, v, 0.4).filter("usable and type = 'exact'")
     return found.select("x", "y", F.col("entity1").alias("entity"))
 
 
-@query("synonym_hop_pairs", f"{_HOPS} WHERE a.vec_id % 50 = 0")
+@query("synonym_hop_pairs", _HOPS)
 def synonym_hop_pairs(spark, sf_dir):
     v, held, syn = beam_inputs(spark, sf_dir)
-    lasts = v.filter("id % 50 = 0").select(F.col("id").alias("x"))
+    lasts = v.select(F.col("id").alias("x"))
     found = connections(lasts, held, syn, v, 0.4).filter("usable and type = 'synonym'")
     return found.select("x", "y", "entity1", "entity2", r6("similarity", "similarity"))
 

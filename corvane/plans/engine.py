@@ -70,9 +70,16 @@ def ask(index: Index, question: DataFrame, *, system: str = "paths", k: int = 10
     if system == "dense":
         found = retrieve.dense(passages, question, k)
     elif system == "graph":
-        near = block_topk(question.select(F.lit(0).cast("long").alias("id"), "vector"), index.entities, 5, floor=0.6, self_match=True)
-        dense = passages.join(F.broadcast(question.select(F.col("vector").alias("q")))).select(F.col("id").alias("chunk"), _dot("vector", "q").alias("dense"))
+        near = _entities(index, question, 5, 0.6)
+        dense = _dense(passages, question)
         found = retrieve.graph_expansion(near.select("id"), index.edges.filter("kind <> 'passage'"), index.links, dense, k=k).withColumnRenamed("chunk", "id")
+    elif system == "local":
+        near = cut(_entities(index, question, 10, 0.5))
+        held = index.links.join(near.select(F.col("id").alias("entity")), ["entity"], "left_semi").select("entity", "passage")
+        other = held.withColumnRenamed("entity", "dst")  # relations between found entities, by the passages that name both
+        cited = held.join(other, ["passage"]).filter("entity < dst").select(F.col("entity").alias("src"), "dst", F.array("passage").alias("chunks"))
+        named = held.select(F.col("entity").alias("id"), F.array("passage").alias("chunks"))
+        found = retrieve.local_search(near.select("id", "score"), named, cited, _dense(passages, question), k=k).withColumnRenamed("chunk", "id")
     else:
         found = retrieve.two_stage(
             question, passages, index.propositions, index.mentions, index.synonyms, index.links, index.edges.select("src", "dst", "weight"), k=k, rounds=rounds, spec=spec
@@ -80,6 +87,17 @@ def ask(index: Index, question: DataFrame, *, system: str = "paths", k: int = 10
     return found.join(index.chunks.select("id", "text"), ["id"]).orderBy(F.col("score").desc(), "id")
 
 
+def _entities(index: Index, question: DataFrame, k: int, floor: float) -> DataFrame:
+    """The entities nearest to the question."""
+    return block_topk(question.select(F.lit(0).cast("long").alias("id"), "vector").limit(1), index.entities, k, floor=floor, self_match=True)
+
+
+def _dense(passages: DataFrame, question: DataFrame) -> DataFrame:
+    """(chunk, dense) of all passages."""
+    one = question.select(F.col("vector").alias("q")).limit(1)
+    return passages.join(F.broadcast(one)).select(F.col("id").alias("chunk"), _dot("vector", "q").alias("dense"))
+
+
 def _dot(a: str, b: str):
     from corvane.functions.vectors import dot
 
@@ -90,7 +108,7 @@ def compare(index: Index, question: DataFrame, *, k: int = 10, ablation: bool =
     """(system, id, score, text, error): every system's passages; a failing system gives one error row."""
     spark = index.chunks.sparkSession
     out = None
-    for name in retrieve.SYSTEMS:
+    for name in (*retrieve.SYSTEMS, "local"):
         try:
             rows = cut(ask(index, question, system="dense" if ablation else name, k=k, **options)).select(F.lit(name).alias("system"), "id", "score", "text", F.lit(None).cast("string").alias("error"))
         except Exception as e:  # one system must not take the others down

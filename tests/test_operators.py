@@ -172,7 +172,7 @@ def test_engine(spark, tmp_path):
     q = spark.createDataFrame([("Where was Marie Curie born?",)], "text string").select("text", V.hash_embedding(F.col("text")).alias("vector"))
     found = engine.compare(index, q, k=3, rounds=5)
     assert found.filter("error is not null").count() == 0
-    assert {r["system"] for r in found.collect()} >= {"dense", "paths"}
+    assert {r["system"] for r in found.collect()} >= {"dense", "paths", "local"}
     top = engine.ask(index, q, system="paths", k=2, rounds=5).collect()
     assert any("Marie Curie" in r["text"] for r in top)
     assert "Question: where" in engine.prompt(engine.ask(index, q, system="dense", k=2), "where").first()["prompt"]
