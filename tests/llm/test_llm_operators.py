@@ -100,7 +100,8 @@ def test_regions_lose_no_link(monkeypatch, leaf):
         assert J.linked(sets[x], sets[y], 80) and up[x] != up[y]  # each joins two components
         low, high = sorted((up[x], up[y]))
         up = [low if c == high else c for c in up]
-    assert up == [brute_components(rows)[k][1] for k in range(len(rows))]
+    want = brute_components(rows)
+    assert up == [want[k][1] for k in range(len(rows))]
 
 
 def test_jaccard_of_repeated_ids(spark):
