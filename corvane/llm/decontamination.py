@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import cut, prepare
 
-WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
+WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8  # windows are hashed in steps of 2, 4 and 5
 #: An item's window needs so many plain words.
 PLAIN = 2
 #: Up to so many anchors are looked up in a set that goes along with the plan; more are joined by shuffle.
@@ -60,7 +60,7 @@ def template_tokens(text):
     t = F.regexp_replace(t, _STOPS, " ")
     t = F.regexp_replace(t, _NUMBER, f" {NUMBER}$0 ")
     t = F.regexp_replace(t, _UNIT, f"$1 {UNIT}$2 ")
-    return F.filter(F.split(F.lower(t), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(t), r"\s+"), "")
 
 
 def _bound(value, use):
@@ -70,27 +70,27 @@ def _bound(value, use):
 
 def plain_tokens(text):
     """Array of lower-case words and numbers in order, nothing marked."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[^{_CHAR}\p{{N}}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[^{_CHAR}\p{{N}}]+"), "")
+
+
+def _rolled(h, *salt):
+    """Hash of every ``WINDOW`` neighbours of an array that holds as many: of pairs, of pairs of these, and of one more."""
+    behind = lambda x, k, fewer: F.slice(x, 1 + k, F.size(x) - fewer)
+    join = lambda x, y: F.xxhash64(x, y)
+    fours = _bound(F.zip_with(behind(h, 0, 1), behind(h, 1, 1), join), lambda two: F.zip_with(behind(two, 0, 2), behind(two, 2, 2), join))
+    return _bound(fours, lambda four: F.zip_with(behind(four, 0, 1), behind(h, WINDOW - 1, WINDOW - 1), lambda x, y: F.xxhash64(*salt, x, y)))
 
 
 def plain_hashes(tokens):
     """Hash of every window of plain tokens; none if these are fewer. They differ from those of template windows."""
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    return _bound(hashes, lambda h: F.when(F.size(h) < WINDOW, F.array().cast("array<long>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.lit("plain"), F.slice(h, i, WINDOW)))
-    ))
+    return _bound(hashes, lambda h: F.when(F.size(h) < WINDOW, F.array().cast("array<long>")).otherwise(_rolled(h, F.lit(1))))
 
 
 def window_hashes(tokens):
     """Hash of every window of template tokens; of all tokens, if these are fewer."""
     kinds = F.transform(tokens, lambda t: F.when(t < PLAINLY, F.ascii(t).cast("long")).otherwise(F.xxhash64(t)))
-    each = F.transform(  # the one-element array binds ``kinds``, so that it is made once
-        F.array(kinds),
-        lambda h: F.when(F.size(h) == 0, F.array().cast("array<long>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
-        ),
-    )
-    return F.get(each, F.lit(0))
+    return _bound(kinds, lambda h: F.when(F.size(h) == 0, F.array().cast("array<long>")).when(F.size(h) < WINDOW, F.array(F.xxhash64(h))).otherwise(_rolled(h)))
 
 
 def _fewest(asked):
