@@ -16,8 +16,8 @@ texts are replicated by the triangle inequality's window, and regions are joined
 sizes, places and parity strings do not part. Cells too large for a task are dealt out as pairs of blocks. Only links
 between different components leave a task, never all pairs of a group.
 
-Texts with equal sets are one node from the start. The order of shingles comes from a sample and affects
-speed only. Links are verified on whole sets.
+Texts with equal sets are one node from the start. The order of shingles comes from their counts in all texts;
+the ``RANKED`` most frequent are told apart, the others count as equally rare. Links are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ from corvane.llm.common import Scratch, prepare, shuffle_partitions, sliced
 from corvane.llm.components import components
 from corvane.llm.shingles import mix, shingle_sets
 
-#: Texts of the sample that ranks shingles (at least; and at least one text in ``EVERY``), and the most
-#: shingles it may rank.
-SAMPLE, EVERY, RANKED = 10_000, 10, 500_000
+#: Texts in which a ranked shingle stands at least, and the most shingles that are ranked.
+LEAST, RANKED = 3, 500_000
+#: Buckets in which all shingles are counted, as a power of two, and shingles that a task counts at once.
+BUCKET_BITS, AT_ONCE = 12, 1 << 18
 #: Members up to which a cell gives its pairs.
 SMALL = 24
 #: Members of a region that is joined pair by pair, and pivots of a larger one.
@@ -53,13 +54,67 @@ WIDE = 1000
 _U = np.uint64
 
 
+def _summed(h: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle once, in order, with the sum of its counts."""
+    order = np.argsort(h)
+    h, many = h[order], many[order]
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    return h[at], np.add.reduceat(many, at) if len(at) else many
+
+
+def _counted_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(bucket, h, many): the shingles of texts and their counts, a row for each bucket of what a task holds at once."""
+
+    def rows(held: list[np.ndarray]) -> pd.DataFrame:
+        h = np.concatenate(held)
+        h, many = _summed(h, np.ones(len(h), dtype=np.int64))
+        bucket = (h >> _U(64 - BUCKET_BITS)).astype(np.int64)
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = [*zip(at, np.append(at[1:], len(h)), strict=True)]
+        # a task holds fewer texts at once than 32 bits can count
+        parts = {"h": [h[x:y].tobytes() for x, y in ends], "many": [many[x:y].astype(np.uint32).tobytes() for x, y in ends]}
+        return pd.DataFrame({"bucket": bucket[at], **parts})
+
+    held, size = [], 0
+    for b in sliced(batches):
+        sets = shingle_sets(b["text"])
+        held += sets
+        size += sum(map(len, sets))
+        if size >= AT_ONCE:
+            yield rows(held)
+            held, size = [], 0
+    if size:
+        yield rows(held)
+
+
+def _counted_in_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by bucket. Emits (h, count) of the shingles that stand in ``LEAST`` texts or more."""
+
+    def rows(held: list[tuple[bytes, bytes]]) -> pd.DataFrame:
+        h = np.frombuffer(b"".join(x for x, _ in held), dtype=np.uint64)
+        h, many = _summed(h, np.frombuffer(b"".join(y for _, y in held), dtype=np.uint32).astype(np.int64))
+        return pd.DataFrame({"h": _signed(h[many >= LEAST]), "count": many[many >= LEAST]})
+
+    held, size, last = [], 0, None
+    for b in batches:
+        for bucket, h, many in zip(b["bucket"], b["h"], b["many"], strict=True):
+            if size >= AT_ONCE and bucket != last:
+                yield rows(held)
+                held, size = [], 0
+            held.append((h, many))
+            size += len(h) // 8
+            last = bucket
+    if held:
+        yield rows(held)
+
+
 def window_size(n, percent: int):
     """Shingles of a set of n of which a linked set must hold one."""
     return n - (percent * n + 99) // 100 + 1
 
 
 class Ranks:
-    """Frequent shingles of the sample with their counts; all others count as rare."""
+    """Frequent shingles with their counts; all others count as rare."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
@@ -280,26 +335,23 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
     parts = shuffle_partitions(spark)
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total = docs.count()
 
-    def hashes(batches):
-        for b in sliced(batches):
-            sets = shingle_sets(b["text"])
-            yield pd.DataFrame({"h": _signed(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.int64)})
-
-    every = max(1, min(EVERY, total // SAMPLE))
-    drawn = texts.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    counted = scratch.keep(drawn.select("text").mapInPandas(hashes, "h long").groupBy("h").count().filter("count >= 3"), "ranks")
-    least = 3
-    while counted.filter(F.col("count") >= least).count() > RANKED:
-        least *= 2
-    common = counted.filter(F.col("count") >= least).toPandas()
+    told = texts.filter("id is not null").select("text").mapInPandas(_counted_in_task, "bucket int, h binary, many binary")
+    told = told.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    counted = scratch.keep(told.mapInPandas(_counted_in_all, "h long, count long"), "ranks")
+    del told
+    classes = counted.groupBy("count").agg(F.count("*").alias("many")).toPandas().sort_values("count", ascending=False)
+    ranked = classes["count"][classes["many"].cumsum() <= RANKED]
+    least = int(ranked.min()) if len(ranked) else 1 << 62
+    common = counted.filter(F.col("count") >= least).toArrow()  # rows collected one by one would fill the driver
     ranks = spark.sparkContext.broadcast(
-        Ranks(common["h"].to_numpy(dtype=np.int64).view(np.uint64), common["count"].to_numpy(dtype=np.int64))
+        Ranks(common["h"].to_numpy().astype(np.int64).view(np.uint64), common["count"].to_numpy().astype(np.int64))
     )
-    widest = int(common["count"].max()) * every if len(common) else 0
+    del common
+    widest = int(classes["count"].max()) if len(classes) else 0
     split = min(4096, max(1, -(-widest // WIDE)))
-    wide_from = max(3, WIDE // every) if split > 1 else 1 << 62
+    wide_from = WIDE if split > 1 else 1 << 62
+    scratch.drop("ranks")
 
     def described(batches):
         rank = ranks.value
@@ -346,7 +398,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, id_col: str = "doc
         "met",
     )
     del place, held
-    scratch.drop("sets", "ranks", "copies")
+    scratch.drop("sets", "copies")
     members = met.filter("kind = 1").select("s", F.col("a").alias("id"), "n", "pos", "prev")
     leaders = met.filter("kind = 2").select("s", F.col("a").alias("id"), "n")
     lead = leaders.groupBy("s").agg(F.min(F.struct("n", "id")).alias("lead"))

@@ -121,3 +121,47 @@ def test_pipeline_against_its_operators(spark, sf_dir):
         docs = docs.join(out.select("doc_id"), ["doc_id"], "left_semi")
     pieces = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in pieces} == kept
+
+
+def test_jaccard_ranks_by_counts_in_all_texts(spark, monkeypatch):
+    from corvane.llm import jaccard_join as J
+
+    told, init = [], J.Ranks.__init__
+
+    def noted(self, h, counts):
+        told.append(dict(zip(h.tolist(), counts.tolist(), strict=True)))
+        init(self, h, counts)
+
+    monkeypatch.setattr(J.Ranks, "__init__", noted)
+    docs = spark.range(20_400).selectExpr("id as doc_id", "concat('t', id % 40, ' of the same few words') as text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "t0 of the same few words")], "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs).collect()}
+    assert got == {k: (2, k % 40) for k in range(20_400)} | {None: (2, None)}
+    sets = [J.shingle_sets([f"t{k} of the same few words"])[0] for k in range(40)]
+    want = {}
+    for s in sets:
+        for h in s.tolist():
+            want[h] = want.get(h, 0) + 510
+    assert told == [want] and sorted(want.values())[-2:] == [510, 20_400]
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 20])
+def test_counts_of_all_shingles(monkeypatch, at_once):
+    import random
+
+    import pandas as pd
+
+    from corvane.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "AT_ONCE", at_once)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(0, 40))) for _ in range(700)] + [None, "", " \n"]
+    tasks = [pd.DataFrame({"text": texts[:300]}), pd.DataFrame({"text": texts[300:]})]
+    told = pd.concat([b for t in tasks for b in J._counted_in_task(iter([t]))]).sort_values("bucket", kind="stable")
+    got = pd.concat(J._counted_in_all(iter([told.iloc[:7], told.iloc[7:]])))
+    want = {}
+    for s in J.shingle_sets(texts):
+        for h in s.view("int64").tolist():
+            want[h] = want.get(h, 0) + 1
+    assert got["h"].is_unique and dict(zip(got["h"], got["count"], strict=True)) == {h: n for h, n in want.items() if n >= J.LEAST}
+    assert list(J._counted_in_task(iter([pd.DataFrame({"text": [None, ""]})]))) == [] and list(J._counted_in_all(iter([]))) == []
